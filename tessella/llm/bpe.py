@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import utf8
 
-#: Pieces kept ready by one worker; the store is emptied when it is full, so memory is bounded and results are the same.
-CACHE_ENTRIES = 400_000
-#: Longer pieces are not kept.
-CACHE_CHARS = 64
+#: Words and pieces kept ready by one worker; a store is emptied when it is full, so memory is bounded and results are the same.
+CACHE_ENTRIES = 500_000
+#: Characters of the texts that are encoded together.
+GROUP_CHARS = 2_000_000
 
 #: A text where a single space is the only white space between two words can be split at spaces: no piece of the pattern
 #: crosses such a space, which always opens the next piece.
@@ -91,20 +91,100 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class _Packed(dict):
-    """Chunk of text to its packed ids, worked out when first met."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        packed = self.encode(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = packed
-        return packed
+class ManyMerges:
+    """merge() for many short pieces at once: one segment tree to a row, all rows stepped together with numpy."""
+
+    #: Longer pieces go to merge().
+    WIDEST = 64
+    #: Cells of all trees of one step, so memory is bounded.
+    CELLS = 1 << 22
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.of_byte = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens; -1: no token."""
+        if not self.keys.size:
+            return np.full(left.shape, -1)
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], -1)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of every piece."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            if piece in self.ranks:
+                out[k] = self.ranks[piece].to_bytes(4, "little")
+            elif len(piece) > self.WIDEST:
+                out[k] = np.array(merge(piece, self.ranks), "<u4").tobytes()
+            else:
+                by_width.setdefault(max(8, 1 << (len(piece) - 1).bit_length()), []).append(k)
+        for width, members in by_width.items():
+            step = self.CELLS // width
+            for start in range(0, len(members), step):
+                part = members[start : start + step]
+                for k, packed in zip(part, self._rows([pieces[k] for k in part], width)):
+                    out[k] = packed
+        return out
+
+    def _rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        count, none = len(pieces), np.int64(1 << 62)
+        raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(count, width)
+        size = np.array([len(x) for x in pieces])
+        token = np.zeros((count, width + 1), np.int64)
+        token[:, :width] = self.of_byte[raw]
+        place = np.arange(width)
+        live = place < size[:, None]
+        after = np.broadcast_to(place + 1, (count, width)).copy()
+        before = np.broadcast_to(place - 1, (count, width)).copy()
+        tree = np.full((count, 2 * width), none)
+        first = self.rank(token[:, : width - 1], token[:, 1:width])
+        tree[:, width : 2 * width - 1] = np.where((first >= 0) & live[:, 1:], first * width + place[:-1], none)
+        level = width
+        while level > 1:
+            level //= 2
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        rows = np.arange(count)
+        while True:
+            least = tree[rows, 1]
+            rows, least = rows[least != none], least[least != none]
+            if not rows.size:
+                break
+            at = least % width
+            gone = after[rows, at]
+            end = after[rows, gone]
+            token[rows, at] = least // width
+            live[rows, gone] = False
+            after[rows, at] = end
+            more = end < size[rows]
+            before[rows[more], end[more]] = at[more]
+            rank = self.rank(token[rows, at], token[rows, end])
+            tree[rows, width + gone] = none
+            tree[rows, width + at] = np.where(more & (rank >= 0), rank * width + at, none)
+            left = before[rows, at]
+            inner = np.flatnonzero(left >= 0)
+            own, left = rows[inner], left[inner]
+            rank = self.rank(token[own, left], token[own, at[inner]])
+            tree[own, width + left] = np.where(rank >= 0, rank * width + left, none)
+            for who, node in ((rows, width + gone), (rows, width + at), (own, width + left)):
+                node = node >> 1
+                while node.size and node[0] > 0:
+                    tree[who, node] = np.minimum(tree[who, 2 * node], tree[who, 2 * node + 1])
+                    node = node >> 1
+        packed = token[:, :width][live].astype("<u4").tobytes()
+        ends = (4 * live.sum(axis=1).cumsum()).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Encoder:
@@ -114,25 +194,59 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.pieces = _Packed(lambda piece: np.array(merge(piece.encode(), self.ranks), "<u4").tobytes())
-        self.words = _Packed(lambda word: self._by_pattern(" " + word))
-
-    def _by_pattern(self, text: str) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[piece] for piece in self.find(text)])
-
-    def encode_packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if " " not in text or _IRREGULAR_SPACE.search(text):
-            return self._by_pattern(text)
-        first, *rest = text.split(" ")
-        words = self.words
-        return self._by_pattern(first) + b"".join([words[word] for word in rest])
+        self.merges = ManyMerges(self.ranks)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Makes pieces ready."""
+        new = [x for x in pieces if x not in self.pieces]
+        self.pieces.update(zip(new, self.merges([x.encode() for x in new])))
+
+    def _trim(self) -> None:
+        for kept in (self.pieces, self.words):
+            if len(kept) > CACHE_ENTRIES:
+                kept.clear()
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids (little-endian unsigned 32-bit integers) of every text, worked out some megabytes at a time."""
+        start = 0
+        while start < len(texts):
+            stop, chars = start + 1, len(texts[start])
+            while stop < len(texts) and chars + len(texts[stop]) <= GROUP_CHARS:
+                chars += len(texts[stop])
+                stop += 1
+            yield from self._group(texts[start:stop])
+            start = stop
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut: list[tuple] = []  # pieces at the head of a text, then words that a space precedes, and what is ready of them
+        pieces: set[str] = set()
+        unknown: set[str] = set()
+        known, words = self.words.get, self.words
+        for text in texts:
+            if " " not in text or _IRREGULAR_SPACE.search(text):
+                head, rest, got = self.find(text), [], []
+            else:
+                first, *rest = text.split(" ")
+                head, got = self.find(first), list(map(known, rest))
+                if None in got:
+                    unknown.update([word for word, packed in zip(rest, got) if packed is None])
+            pieces.update(head)
+            cut.append((head, rest, got))
+        split = {word: self.find(" " + word) for word in unknown}
+        for found in split.values():
+            pieces.update(found)
+        self._learn(pieces)
+        ready = self.pieces.__getitem__
+        for word, found in split.items():
+            words[word] = b"".join(map(ready, found))
+        packed = [b"".join(map(ready, head)) + b"".join(map(words.__getitem__, rest) if None in got else got) for head, rest, got in cut]
+        self._trim()
+        return packed
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+        return np.frombuffer(next(self.encode_all([text])), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -148,6 +262,10 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
+def _texts(batch: pd.Series) -> list[str]:
+    return [x.decode("utf-8", "replace") for x in batch]
+
+
 def with_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the token ids of a text column as array<int>. Ids fit 31 bits. An existing column of that name is replaced."""
 
@@ -155,7 +273,7 @@ def with_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path, pattern)
         for batch in batches:
-            yield pd.Series([np.frombuffer(own.encode_packed(x.decode("utf-8", "replace")), "<i4") for x in batch])
+            yield pd.Series([np.frombuffer(x, "<i4") for x in own.encode_all(_texts(batch))], dtype=object)
 
     return df.withColumn(ids, tokens(utf8(text)))
 
@@ -181,8 +299,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
         own = encoder(path, pattern)
         for batch in batches:
             rows = []
-            for raw in batch:
-                packed = own.encode_packed(raw.decode("utf-8", "replace"))
+            for packed in own.encode_all(_texts(batch)):
                 ids = np.frombuffer(packed, "<u4").tolist()
                 rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
