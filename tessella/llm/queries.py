@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, simhash
-from tessella.llm.common import table
+from tessella.llm import bpe, langid, mixing, pii, simhash
+from tessella.llm.common import held_out, table, utf8
 
 #: The rank file that the tokenizing query and the pipeline use.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,10 +17,100 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.selection(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP5_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, 2 * source_size AS cap FROM src
+), ranked AS (
+  SELECT *, cap::DOUBLE / weight AS ratio,
+    (1.5::DOUBLE * sum(source_size) OVER () - (sum(cap) OVER upto - cap)::DOUBLE) / (sum(weight) OVER rest)::DOUBLE AS level
+  FROM weighed
+  WINDOW upto AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING),
+         rest AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), aimed AS (
+  SELECT source, source_size, n_docs,
+    CASE WHEN level >= ratio THEN cap::DOUBLE ELSE max(CASE WHEN level < ratio THEN level END) OVER () * weight END AS target
+  FROM ranked
+), seated AS (
+  SELECT *, round(sum(target) OVER () / 16)::BIGINT AS seats FROM aimed
+), quotient AS (
+  SELECT source, target / (2 * k + 1) AS q, k, seats
+  FROM (SELECT *, unnest(range(greatest(0, floor(target / 16 - 64))::BIGINT, ceil(target / 16 + 64)::BIGINT)) AS k FROM seated)
+), based AS (
+  SELECT source, greatest(0, floor(target / 16 - 64))::BIGINT AS base FROM seated
+), won AS (
+  SELECT source, q, row_number() OVER (ORDER BY q DESC, source NULLS LAST, k) AS place,
+         (SELECT any_value(seats) FROM seated) - (SELECT sum(base) FROM based) AS open
+  FROM quotient WHERE q > 0
+), blocks AS (
+  SELECT b.source, b.base + count(w.place) AS blocks
+  FROM based b LEFT JOIN won w ON b.source IS NOT DISTINCT FROM w.source AND w.place <= w.open
+  GROUP BY b.source, b.base
+), dealt AS (
+  SELECT s.*, a.source_size, a.target, b.blocks,
+         ('0x' || substr(s.h, 1, 8))::BIGINT % least(4096, ceil((a.source_size + a.n_docs) / 250000.0))::BIGINT AS shard
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source JOIN blocks b ON s.source IS NOT DISTINCT FROM b.source
+), shards AS (
+  SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(blocks) AS blocks FROM dealt GROUP BY source, shard
+), exact AS (
+  SELECT *, CASE WHEN sum(shard_size) OVER (PARTITION BY source) > 0
+                 THEN blocks * shard_size::DOUBLE / sum(shard_size) OVER (PARTITION BY source) ELSE 0 END AS share FROM shards
+), shard_base AS (
+  SELECT *, greatest(0, floor(share - 2100))::BIGINT AS base FROM exact
+), shard_q AS (
+  SELECT source, shard, shard_size::DOUBLE / (2 * k + 1) AS q, k
+  FROM (SELECT *, unnest(range(base, ceil(share + 2100)::BIGINT)) AS k FROM shard_base)
+), shard_won AS (
+  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) AS place FROM shard_q WHERE q > 0
+), shard_open AS (
+  SELECT source, any_value(blocks) - sum(base) AS open FROM shard_base GROUP BY source
+), shard_quota AS (
+  SELECT b.source, b.shard, b.shard_size, least((b.base + count(w.place)) * 16, 2 * b.shard_size) AS quota
+  FROM shard_base b JOIN shard_open o ON b.source IS NOT DISTINCT FROM o.source
+  LEFT JOIN shard_won w ON b.source IS NOT DISTINCT FROM w.source AND b.shard = w.shard AND w.place <= o.open
+  GROUP BY b.source, b.shard, b.shard_size, b.base
+), placed AS (
+  SELECT d.*, q.quota, q.shard_size,
+    CASE WHEN q.shard_size > 0 THEN q.quota // q.shard_size ELSE 0 END AS whole,
+    sum(d.size) OVER (PARTITION BY d.source, d.shard ORDER BY d.h RANGE UNBOUNDED PRECEDING)
+      - sum(d.size) OVER (PARTITION BY d.source, d.shard, d.h) AS before,
+    sum(d.size) OVER (PARTITION BY d.source, d.shard, d.h) AS tie,
+    count(*) OVER (PARTITION BY d.source, d.shard, d.h) AS ties
+  FROM dealt d JOIN shard_quota q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard
+), rest AS (
+  SELECT *, greatest(0, quota - whole * shard_size - before) AS remaining FROM placed
+)
+SELECT doc_id, size, source_size, target,
+  (whole * size + CASE WHEN remaining > 0 AND remaining < tie THEN least(remaining // ties, size) WHEN remaining > 0 THEN size ELSE 0 END)::BIGINT AS taken
+FROM rest
+"""
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out("doc_id")))
+    labelled = docs.select("doc_id", held_out("doc_id").alias("held_out"), langid.predicted(spark, model, utf8("text")).alias("p"))
+    return labelled.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", pii.spans(utf8("text")).alias("p")).select("doc_id", "p.*")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op10_simhash_near_dedup": op10_simhash_near_dedup}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_source_mixing, op7_language_id, op9_pii_spans, op10_simhash_near_dedup)}
+ORACLE: dict[str, str] = {"op5_source_mixing": OP5_SQL}

@@ -266,6 +266,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     if nothing else is in their component."""
     found = checkpointed(near_duplicates(df.select(key, text), key, text, radius))
     kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
-    once = df.join(kept.filter("_n = 1"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    again = df.join(kept.filter("_n > 1"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
-    return once.unionByName(again)
+    rows = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"))
+    once = rows.join(kept.filter("_n = 1"), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    again = rows.join(kept.filter("_n > 1"), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(again).select("_row.*")
