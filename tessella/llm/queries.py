@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, pii, simhash
-from tessella.llm.common import held_out, table, utf8
+from tessella.llm import ann, bpe, html_blocks, langid, media, mixing, pii, quality, simhash
+from tessella.llm.common import checkpointed, held_out, table, utf8
 
 #: The rank file that the tokenizing query and the pipeline use.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,34 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id").alias("held_out"), quality.stated(utf8("text")).alias("x"))
+    docs = checkpointed(docs)
+    labels = quality.one_label(table(spark, sf_dir, "labels"))
+    learnt = docs.filter("not held_out").join(labels, docs.doc_id == labels.key).select("x", "y")
+    scores = docs.withColumn("score", quality.scored(quality.fit(learnt), F.col("x")))
+    return scores.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.self_search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND list_sum([abs(x) FOR x IN embedding]) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.selection(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -96,6 +124,11 @@ FROM rest
 """
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "pages").select("page_id", "url", html_blocks.extracted(utf8("html")).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out("doc_id")))
@@ -103,6 +136,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", media.described(utf8("text")).alias("m")).select("doc_id", "m.*")
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", pii.spans(utf8("text")).alias("p")).select("doc_id", "p.*")
 
@@ -112,5 +149,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_source_mixing, op7_language_id, op9_pii_spans, op10_simhash_near_dedup)}
-ORACLE: dict[str, str] = {"op5_source_mixing": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality, op4_nearest, op5_source_mixing, op6_main_text, op7_language_id, op8_media, op9_pii_spans, op10_simhash_near_dedup)}
+ORACLE: dict[str, str] = {"op4_nearest": OP4_SQL, "op5_source_mixing": OP5_SQL}
