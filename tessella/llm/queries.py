@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, html_blocks, langid, media, mixing, pii, quality, simhash
+from tessella.llm import ann, bpe, dedup, html_blocks, langid, media, mixing, pii, quality, simhash
 from tessella.llm.common import checkpointed, held_out, table, utf8
 
 #: The rank file that the tokenizing query and the pipeline use.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicated(table(spark, sf_dir, "documents"), kept=False)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -149,5 +153,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality, op4_nearest, op5_source_mixing, op6_main_text, op7_language_id, op8_media, op9_pii_spans, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_quality, op4_nearest, op5_source_mixing, op6_main_text, op7_language_id, op8_media, op9_pii_spans, op10_simhash_near_dedup)}
 ORACLE: dict[str, str] = {"op4_nearest": OP4_SQL, "op5_source_mixing": OP5_SQL}
