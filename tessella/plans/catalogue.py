@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tessella.plans import library, triage
+
+PLANS = library.PLANS | triage.PLANS
+QUERIES = {name: query for name, (query, _) in PLANS.items()}
+ORACLE = {name: sql for name, (_, sql) in PLANS.items() if sql}
