@@ -22,7 +22,7 @@ def bm25(df: DataFrame, query: list[str], key: str = "doc_id", text: str = "text
     """key, score: best first, ties to the smaller key. One pass counts the query's words in each text; only counts are kept."""
     words = F.col("_t")
     counts = df.select(F.col(key).alias(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select(
-        key, F.size(words).alias("len"), *[F.size(F.filter(words, lambda x, w=w: x == w.lower())).alias(f"tf{i}") for i, w in enumerate(query)]
+        key, F.size(words).alias("len"), *[(F.size(words) - F.size(F.array_remove(words, w.lower()))).alias(f"tf{i}") for i, w in enumerate(query)]
     )
     whole = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     joined = counts.crossJoin(F.broadcast(whole))  # one row
