@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import utf8
+from tessella.llm.common import checkpointed, utf8
 
 #: About so many labelled rows of each language are fitted, chosen by a hash of their id; all rows are labelled.
 FIT_ROWS = 1500
@@ -89,16 +89,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS, kept: int = TRIGRAMS) -> Model:
     """labelled: rows to learn from; those without a language are left out. A language of more than `rows` rows is
     sampled by a hash of the key, at the rate that leaves about `rows`. The model's size is bounded by `kept`."""
-    named = labelled.filter(F.col(lang).isNotNull())
-    sizes = named.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
-    rate = F.least(F.lit(1_000_000), F.ceil(F.lit(1e6) * rows / F.col("_n")))
-    chosen = (
-        named.select(F.col(key).alias("key"), F.col(lang).alias("lang"), utf8(text).alias("raw"))
-        .join(sizes, F.col("lang") == F.col("_lang"))
-        .filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate)
-        .select("lang", "raw")
-    )
-    counts = chosen.mapInPandas(_counted, "lang string, kind string, part string, n long").groupBy("kind", "part", "lang").agg(F.sum("n").alias("n"))
+    named = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null")
+    # a row for each language, which the model has anyway; as literals they need no join that would shuffle texts
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Model([], {}, np.zeros((1, 0), np.float32), {})
+    rates = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1_000_000, -(-1_000_000 * rows // n)))])
+    chosen = named.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.element_at(rates, F.col("lang"))).select("lang", utf8("text").alias("raw"))
+    counts = checkpointed(chosen.mapInPandas(_counted, "lang string, kind string, part string, n long").groupBy("kind", "part", "lang").agg(F.sum("n").alias("n")))
     grams = counts.filter("kind = 'g'").groupBy("part").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     best = grams.orderBy(F.col("total").desc(), "part").limit(kept).collect()
     totals = {r["lang"]: r["n"] for r in counts.filter("kind = 'g'").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -110,7 +108,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for name, n in row["by"].items():
             table[k, at[name]] = n
     all_of = np.array([totals[name] for name in languages], float)
-    weights = np.log(table + 0.5) - np.log(all_of + 0.5 * (len(best) + 1)) if languages else table
+    weights = np.log(table + 0.5) - np.log(all_of + 0.5 * (len(best) + 1))
     scripts = {}
     total = Counter()
     for r in letters:
