@@ -110,7 +110,9 @@ def _single_ascii() -> dict[int, str]:
 
 
 _MAP = _single_ascii() | {ord(k): v for k, v in LOOK_ALIKES.items()}
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_MAP)))) + INVISIBLE + "]")
+# apart: a set of characters is looked up at once only if none is beyond the first plane
+_ODD = re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_MAP) if k < 0x10000) + INVISIBLE + "]")
+_ODD_BEYOND = re.compile(f"[{chr(0x10000)}-{chr(0x10FFFF)}]")
 _AT, _DOT = r"at|arroba|aroba|ät", r"dot|punkt|punto|point"
 _BRACKETED = re.compile(rf"\s{{0,3}}(?:\[\s?(?:({_AT})|({_DOT}))\s?\]|\(\s?(?:({_AT})|({_DOT}))\s?\)|\{{\s?(?:({_AT})|({_DOT}))\s?\}}|<\s?(?:({_AT})|({_DOT}))\s?>)\s{{0,3}}", re.I)
 _BRACKET = re.compile(r"[\[({<]\s?[aädp]", re.I)
@@ -120,9 +122,16 @@ _SPOKEN_PART = re.compile(rf"\s{{1,3}}(?:({_AT})|({_DOT}))\s{{1,3}}", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = rf"(?:[\s,]{{0,3}}\b(?:{_DOT})\b[\s,]{{0,3}}|[\s,.-]{{1,3}})"
 _SPELLED = re.compile(rf"(?:\bplus[\s,]{{1,3}})?\b(?:{_WORD})\b(?:{_GAP}(?:{_WORD})\b){{{LEAST_RUN - 1},}}", re.I)
+_WORDS = re.compile(r"[^\W\d_]+")
+_SPELLED_WORDS = frozenset([*DIGIT_WORDS, *_DOT.split("|")])
 _SPELLED_PART = re.compile(rf"(plus)|\b({_WORD})\b|\b({_DOT})\b|.", re.I | re.S)
 
 
+def _may_spell(text: str) -> bool:
+    """Whether enough words in a row could be part of a spelled number; much cheaper than the pattern."""
+    return bytes([1] * LEAST_RUN) in bytes(map(_SPELLED_WORDS.__contains__, _WORDS.findall(text.lower())))
+
+
 class Plain:
     """A rewritten text; character k stands for source[starts[k]:ends[k]], and changed[k] says that it isn't as written."""
 
@@ -155,18 +164,18 @@ class Plain:
 
 def deobfuscated(text: str) -> Plain | None:
     """The plain form; None if no transducer changes anything."""
-    odd = not text.isascii() and _ODD.search(text)
+    odd = not text.isascii() and (_ODD.search(text) or _ODD_BEYOND.search(text))
     brackets = _BRACKET.search(text)
     spoken = _SPOKEN_DOT.search(text)
-    spelled = _SPELLED.search(text)
+    spelled = _may_spell(text)
     if not (odd or brackets or spoken or spelled):
         return None
     plain = Plain(text)
     if odd:
-        plain.rewrite([(m.start(), m.end(), "" if m[0] in INVISIBLE else _MAP[ord(m[0])]) for m in _ODD.finditer(text)])
+        plain.rewrite([(k, k + 1, "" if c in INVISIBLE else _MAP[ord(c)]) for k, c in enumerate(text) if c in INVISIBLE or ord(c) in _MAP])
     plain.rewrite([(m.start(), m.end(), "@" if any(m.groups()[::2]) else ".") for m in _BRACKETED.finditer(plain.text)])
     edits = []
-    for m in _SPELLED.finditer(plain.text):
+    for m in _SPELLED.finditer(plain.text) if spelled else ():
         for p in _SPELLED_PART.finditer(m[0]):
             new = "+" if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else "." if p[3] else ""
             edits.append((m.start() + p.start(), m.start() + p.end(), new))
