@@ -37,7 +37,7 @@ SWITCH = 25.0
 #: A script counts as a language's own from this share of its letters.
 OWN_SCRIPT = 0.01
 #: Words kept ready by one worker; emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 UNKNOWN = "und"
 
@@ -167,18 +167,16 @@ class Labeller:
         floor = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, scores.shape[1])), gains[:-1]])), 0)
         if (gains - floor).max() <= SWITCH / 2:
             return np.full(len(scores), best)
-        came = np.empty(scores.shape, np.int32)
-        now, stay = scores[0].copy(), np.arange(scores.shape[1])
-        for k in range(1, len(scores)):
-            top = int(now.argmax())
-            jump = now < now[top] - SWITCH
-            came[k] = np.where(jump, top, stay)
-            now = np.where(jump, now[top] - SWITCH, now) + scores[k]
-        out = np.empty(len(scores), np.int64)
-        out[-1] = now.argmax()
-        for k in range(len(scores) - 1, 0, -1):
-            out[k - 1] = came[k, out[k]]
-        return out
+        now, came = scores[0].tolist(), []
+        for row in scores[1:].tolist():
+            top = max(now)
+            least, leader = top - SWITCH, now.index(top)
+            came.append([k if v >= least else leader for k, v in enumerate(now)])
+            now = [(v if v >= least else least) + x for v, x in zip(now, row)]
+        out = [now.index(max(now))]
+        for step in reversed(came):
+            out.append(step[out[-1]])
+        return np.array(out[::-1])
 
     def words(self, text: str) -> list[str]:
         return _LETTERS.findall(text.lower())
