@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import utf8
 
 #: Words and pieces kept ready by one worker; a store is emptied when it is full, so memory is bounded and results are the same.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 #: Characters of the texts that are encoded together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
 
 #: A text where a single space is the only white space between two words can be split at spaces: no piece of the pattern
 #: crosses such a space, which always opens the next piece.
@@ -97,7 +97,7 @@ class ManyMerges:
     #: Longer pieces go to merge().
     WIDEST = 64
     #: Cells of all trees of one step, so memory is bounded.
-    CELLS = 1 << 22
+    CELLS = 1 << 18
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -208,16 +208,17 @@ class Encoder:
             if len(kept) > CACHE_ENTRIES:
                 kept.clear()
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Packed ids (little-endian unsigned 32-bit integers) of every text, worked out some megabytes at a time."""
-        start = 0
-        while start < len(texts):
-            stop, chars = start + 1, len(texts[start])
-            while stop < len(texts) and chars + len(texts[stop]) <= GROUP_CHARS:
-                chars += len(texts[stop])
-                stop += 1
-            yield from self._group(texts[start:stop])
-            start = stop
+    def encode_all(self, texts: Iterable[str | bytes]) -> Iterator[bytes]:
+        """Packed ids (little-endian unsigned 32-bit integers) of every text, worked out about a megabyte at a time."""
+        held, chars = [], 0
+        for text in texts:
+            text = text if isinstance(text, str) else text.decode("utf-8", "replace")
+            held.append(text)
+            chars += len(text)
+            if chars > GROUP_CHARS:
+                yield from self._group(held)
+                held, chars = [], 0
+        yield from self._group(held)
 
     def _group(self, texts: list[str]) -> list[bytes]:
         cut: list[tuple] = []  # pieces at the head of a text, then words that a space precedes, and what is ready of them
@@ -262,10 +263,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def _texts(batch: pd.Series) -> list[str]:
-    return [x.decode("utf-8", "replace") for x in batch]
-
-
 def with_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the token ids of a text column as array<int>. Ids fit 31 bits. An existing column of that name is replaced."""
 
@@ -273,7 +270,7 @@ def with_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path, pattern)
         for batch in batches:
-            yield pd.Series([np.frombuffer(x, "<i4") for x in own.encode_all(_texts(batch))], dtype=object)
+            yield pd.Series([np.frombuffer(x, "<i4") for x in own.encode_all(batch)], dtype=object)
 
     return df.withColumn(ids, tokens(utf8(text)))
 
@@ -299,7 +296,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
         own = encoder(path, pattern)
         for batch in batches:
             rows = []
-            for packed in own.encode_all(_texts(batch)):
+            for packed in own.encode_all(batch):
                 ids = np.frombuffer(packed, "<u4").tolist()
                 rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
