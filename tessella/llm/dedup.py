@@ -38,7 +38,7 @@ LENGTH = 100
 GRAM = 32
 HOT = 4096
 #: Bytes that are hashed together in one task, and that are sorted together.
-CHUNK, SORTED = 1 << 21, 1 << 21
+CHUNK, SORTED = 1 << 20, 1 << 20
 
 _BITS = 21
 _LAST = np.iinfo(np.int64).max
