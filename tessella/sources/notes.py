@@ -23,8 +23,8 @@ DEFAULTS = {
 
 def read_notes(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, content: a row for each Markdown file; paths are as Spark has them, with scheme."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive)
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_library(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +36,7 @@ def read_library(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_one(spark: SparkSession, path: str) -> DataFrame:
     """path, content of one note; a missing file raises."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def from_text(spark: SparkSession, content: str, title: str | None = None, origin: str = "text") -> DataFrame:
@@ -47,7 +47,7 @@ def from_text(spark: SparkSession, content: str, title: str | None = None, origi
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """position (from 0) and the manifest's fields as text; null and false are empty. Text that isn't a JSON array raises."""
     element = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_FIELDS])
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parsed = whole.select(F.from_json("value", T.ArrayType(element), {"mode": "FAILFAST"}).alias("items"))
     rows = parsed.select(F.posexplode("items").alias("position", "i")).select("position", "i.*")
     return rows.select("position", *[F.when(F.col(c) == "false", "").otherwise(F.coalesce(c, F.lit(""))).alias(c) for c in MANIFEST_FIELDS])
