@@ -1,4 +1,7 @@
-"""Which items a stage works on. All are plain predicates, so a scan takes them; state lives in the rows' status."""
+"""Which items a stage works on: predicates on rows, whose status holds the state.
+
+A predicate is pushed below the projection that parses a note, so each binds the parsed map once.
+"""
 
 from __future__ import annotations
 
@@ -22,23 +25,35 @@ def is_item(path: Column, *, playbook: bool = True, meta: bool = True) -> Column
 
 def needs_classification(fm: Column, include_unfronted: bool) -> Column:
     """By presence of keys: no frontmatter, done, marked, or without a value."""
-    status = fmt.value(fm, "status")
-    return (
-        F.when(F.size(fm) == 0, F.lit(include_unfronted))
-        .when(status.isin("classified", "skip", "keep"), F.lit(False))
-        .when(status == "unclassified", F.lit(True))
-        .otherwise(F.lit(include_unfronted) & ~fmt.has(fm, "value"))
-    )
+
+    def rule(m: Column) -> Column:
+        status = fmt.value(m, "status")
+        return (
+            F.when(F.size(m) == 0, F.lit(include_unfronted))
+            .when(status.isin("classified", "skip", "keep"), F.lit(False))
+            .when(status == "unclassified", F.lit(True))
+            .otherwise(F.lit(include_unfronted) & ~fmt.has(m, "value"))
+        )
+
+    return fmt.let(fm, rule)
 
 
 def routable(fm: Column, reroute: bool = False) -> Column:
-    placed = F.lit(False) if reroute else fmt.value(fm, "destination") != ""
-    return (F.size(fm) > 0) & (fmt.value(fm, "status") == "classified") & ~placed & (fmt.integer(fm, "value") >= 1)
+
+    def rule(m: Column) -> Column:
+        placed = F.lit(False) if reroute else fmt.value(m, "destination") != ""
+        return (F.size(m) > 0) & (fmt.value(m, "status") == "classified") & ~placed & (fmt.integer(m, "value") >= 1)
+
+    return fmt.let(fm, rule)
 
 
 def executable(fm: Column, destination: str | None = None) -> Column:
-    kept = (F.size(fm) > 0) & (fmt.value(fm, "status") == "classified") & (fmt.value(fm, "destination") != "")
-    return kept if destination is None else kept & (fmt.value(fm, "destination") == destination)
+
+    def rule(m: Column) -> Column:
+        place = fmt.value(m, "destination")
+        return (F.size(m) > 0) & (fmt.value(m, "status") == "classified") & (place != "" if destination is None else place == destination)
+
+    return fmt.let(fm, rule)
 
 
 def in_reading_list(folders: Column) -> Column:
