@@ -17,14 +17,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import utf8
 
 #: Words and pieces kept ready by one worker; a store is emptied when it is full, so memory is bounded and results are the same.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Characters of the texts that are encoded together.
 GROUP_CHARS = 500_000
 
@@ -263,16 +265,24 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def with_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the token ids of a text column as array<int>. Ids fit 31 bits. An existing column of that name is replaced."""
+def with_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", rows: int = 256) -> DataFrame:
+    """Adds the token ids of a text column as array<int>. Ids fit 31 bits. An existing column of that name is replaced.
+    A worker takes `rows` texts of a batch at a time and packs their ids without making Python numbers of them."""
+    names = [c for c in df.columns if c != ids]
+    schema = T.StructType([*[df.schema[c] for c in names], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            yield pd.Series([np.frombuffer(x, "<i4") for x in own.encode_all(batch)], dtype=object)
-
-    return df.withColumn(ids, tokens(utf8(text)))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                packed = list(own.encode_all(part.column(len(names)).to_pylist()))
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], found], names=[*names, ids])
+
+    raw = df.select(*[F.col(c) for c in names], utf8(text).alias("_utf8_of_text"))
+    return raw.mapInArrow(tokens, schema)
 
 
 def with_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
