@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Share of each off-diagonal covariance that is given up, and what is added to variances, as a share of the pooled ones.
-SHRINK = 0.1
-RIDGE = 0.02
+SHRINK = 0.5
+RIDGE = 0.3
 #: Log-odds are divided by this before the logistic: class densities of correlated statistics are overconfident.
 TEMPERATURE = 4.0
 THRESHOLD = 0.7
@@ -32,8 +32,8 @@ NAMES = (
     "mean_word", "long_words", "upper", "digits", "marks", "rare_marks", "stops", "pipes", "vocabulary",
     "top_word", "twice", "repeated_lines", "shouted_words", "marked_words", "burst", "worst_marks", "worst_upper", "worst_repeat",
 )
-#: Bytes and words of ordinary prose that every share is diluted with, so that short texts are not extreme by chance.
-BYTES, WORDS = 150, 20
+#: Bytes, words and lines of ordinary prose that every share is diluted with, so that short texts are not extreme by chance.
+BYTES, WORDS, LINES = 150, 20, 20
 #: Width of the windows, in bytes, in which the worst share is sought: texts may be bad in part only.
 WIDTH = 400
 #: Shares in ordinary prose: capitals of letters, marks of bytes, sentence ends of words.
@@ -81,7 +81,7 @@ def statistics(text: bytes) -> list[float]:
         (len(counts) + WORDS) / m,
         root((max(counts.values(), default=0) + 1) / m),
         root(again / m),
-        root((len(lines) - len(set(lines))) / (len(lines) + 3)),
+        root((len(lines) - len(set(lines))) / (len(lines) + LINES)),
         root(sum(map(bytes.isupper, words)) / m),
         root(marked / m),
         1 - min(spans, default=1.0),
