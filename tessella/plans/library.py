@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import extracts, origins, text
 from tessella.functions import frontmatter as fmt
-from tessella.operators import capture, status
+from tessella.operators import capture, selection, status
 from tessella.operators.numbering import collision_names
 from tessella.plans.fixtures import DAY, DEVICES_SQL, PARSED_SQL, TABS_SQL, day, devices, duck_strip, dump_notes, table, tabs
+from tessella.sources.bookmarks import flatten
 
 
 def capture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,16 +203,12 @@ NOTE_SQL = f"""SELECT seq, '---' || chr(10) || 'type: dump-item' || chr(10) || '
 
 
 def bookmark_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessella.sources.bookmarks import flatten
-
     nodes = table(spark, sf_dir, "pages").selectExpr(
         "page_id AS id", "CASE WHEN page_id > 0 THEN page_id div 5 END AS parent_id", "CASE WHEN page_id >= 60 THEN 'WebBookmarkTypeLeaf' ELSE 'WebBookmarkTypeList' END AS type",
         "CASE WHEN page_id % 4 = 3 THEN '' WHEN page_id = 8 THEN 'com.apple.ReadingList' ELSE 'F' || cast(page_id AS string) END AS title", "url",
     )
-    from tessella.operators.selection import in_reading_list
-
     found = flatten(nodes.filter("id < 250"))
-    return found.select("id", "url", F.array_join("folders", " / ").alias("folder"), in_reading_list(F.col("folders")).alias("reading_list"))
+    return found.select("id", "url", F.array_join("folders", " / ").alias("folder"), selection.in_reading_list(F.col("folders")).alias("reading_list"))
 
 
 TREE_SQL = """WITH RECURSIVE nodes AS (
@@ -291,6 +288,23 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DASHBOARD_SQL = f"{PARSED_SQL} SELECT status, destination, count(*) AS n FROM (SELECT coalesce(status, 'none') AS status, coalesce(destination, 'none') AS destination FROM n) GROUP BY CUBE (status, destination)"
 
+def dashboard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fm = F.col("fm")
+    rows = dump_notes(spark, sf_dir).select("doc_id", fmt.parsed(F.col("content")).alias("fm"))
+    fields = [F.element_at(fm, F.lit(k)).alias(k) for k in ("status", "type", "domain", "title", "source", "reason")]
+    return status.by_domain(rows.select(*fields, fmt.integer(fm, "value").alias("value")))
+
+
+VIEW_SQL = f"""{PARSED_SQL} SELECT domain, title, source, NULL::VARCHAR AS reason FROM n WHERE status = 'classified' AND type = 'dump-item' AND value = '5'"""
+
+
+def kind_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = selection.wanted_kinds(F.col("kind"), only=["open-tabs", "cloud-tabs"], skip=["cloud-tabs"])
+    return _captures(spark, sf_dir).filter(kept).select("kind", "url")
+
+
+KIND_SQL = f"SELECT kind, url FROM ({OPEN_SQL})"
+
 PLANS = {
     "capture_pages": (capture_pages, CAPTURE_SQL), "page_text": (page_text, _duck_html()), "detect_origin": (detect_origin, DETECT_SQL), "video_ids": (video_ids, VIDEO_SQL),
     "archive_names": (archive_names, ARCHIVE_SQL), "collision_names": (collisions, COLLISION_SQL), "status_totals": (status_totals, TOTALS_SQL), "status_recent": (status_recent, RECENT_SQL),
@@ -298,4 +312,5 @@ PLANS = {
     "cloud_tabs": (cloud_tabs, CLOUD_SQL), "capture_counts": (capture_counts, COUNTS_SQL), "per_kind_limit": (per_kind_limit, LIMIT_SQL), "bookmark_dedupe": (bookmark_dedupe, DEDUPE_SQL),
     "dump_note_texts": (dump_note_texts, NOTE_SQL), "bookmark_tree": (bookmark_tree, TREE_SQL), "key_ideas": (key_ideas, IDEAS_SQL), "connections": (connections, CONNECTIONS_SQL),
     "idea_conformance": (idea_conformance, CONFORMANCE_SQL), "section_map": (section_map, SECTION_SQL), "lifecycle": (lifecycle, LIFECYCLE_SQL), "dashboard": (dashboard, DASHBOARD_SQL),
+    "dashboard_view": (dashboard_view, VIEW_SQL), "kind_selection": (kind_selection, KIND_SQL),
 }
