@@ -206,4 +206,4 @@ def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def extracted(page: Column) -> Column:
     """Main text of a column of bytes."""
-    return F.pandas_udf(_extract, "string", F.PandasUDFType.SCALAR_ITER)(page)
+    return F.pandas_udf(_extract, "string")(page)

@@ -223,4 +223,4 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
         for batch in batches:
             yield pd.DataFrame(labeller.predict(list(batch)), columns=["lang_pred", "score"])
 
-    return F.pandas_udf(run, "struct<lang_pred: string, score: double>", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, "struct<lang_pred: string, score: double>")(text)

@@ -108,7 +108,7 @@ def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def described(text: Column) -> Column:
     """Struct of sizes, digests and the digest of the landmarks, of a column of bytes; the media stay in the worker."""
     kind = "struct<n_bytes: bigint, payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, n_landmarks: bigint, feature: string>"
-    return F.pandas_udf(_described, kind, F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(_described, kind)(text)
 
 
 def wav(text: Column) -> Column:
@@ -118,7 +118,7 @@ def wav(text: Column) -> Column:
         for batch in batches:
             yield pd.Series([encode(payload(x)) for x in batch], dtype=object)
 
-    return F.pandas_udf(run, "binary", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, "binary")(text)
 
 
 def fingerprint(media: Column) -> Column:
@@ -128,4 +128,4 @@ def fingerprint(media: Column) -> Column:
         for batch in batches:
             yield pd.Series([None if x is None else landmarks(peaks(decode(x))) for x in batch], dtype=object)
 
-    return F.pandas_udf(run, "array<bigint>", F.PandasUDFType.SCALAR_ITER)(media)
+    return F.pandas_udf(run, "array<bigint>")(media)

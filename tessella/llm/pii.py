@@ -229,7 +229,7 @@ def _spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def spans(text: Column) -> Column:
     """Struct of the numbers of base spans by kind, of added spans, the digest of base spans, and all spans, of a column of bytes."""
     kind = "struct<n_email: bigint, n_ip: bigint, n_card: bigint, n_phone: bigint, n_added: bigint, base_sha256: string, spans: string>"
-    return F.pandas_udf(_spans, kind, F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(_spans, kind)(text)
 
 
 def _redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -239,5 +239,5 @@ def _redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with personal data in a text column replaced; null stays null."""
-    clean = F.pandas_udf(_redact, "string", F.PandasUDFType.SCALAR_ITER)(utf8(text))
+    clean = F.pandas_udf(_redact, "string")(utf8(text))
     return df.withColumn(text, F.when(F.col(text).isNotNull(), clean))

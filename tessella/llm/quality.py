@@ -98,7 +98,7 @@ def _stated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def stated(text: Column) -> Column:
     """Statistics of a column of bytes, as array<double>."""
-    return F.pandas_udf(_stated, "array<double>", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(_stated, "array<double>")(text)
 
 
 @dataclass
@@ -167,7 +167,7 @@ def scored(model: Model, x: Column) -> Column:
         for batch in batches:
             yield pd.Series(model.scores(np.array(batch.tolist(), float).reshape(len(batch), -1)) if len(batch) else [], dtype=float)
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(x)
+    return F.pandas_udf(run, "double")(x)
 
 
 def one_label(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:

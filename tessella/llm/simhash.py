@@ -54,7 +54,7 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprints(text: Column) -> Column:
     """Fingerprints of a column of bytes, as long."""
-    return F.pandas_udf(_fingerprints, "bigint", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(_fingerprints, "bigint")(text)
 
 
 def hex16(col: Column) -> Column:
