@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, langid, mixing, pii, queries, simhash
-from tessella.llm.common import checkpointed, held_out, utf8
+from tessella.llm.common import bound_batches, checkpointed, held_out, utf8
 
 #: Documents of which a lower share of letters is in the predicted language go.
 LEAST_SCORE = 0.4
@@ -18,6 +18,7 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or mostly in scripts that no learned language uses, go; lang is the predicted one."""
+    bound_batches(spark)
     model = langid.fit(docs.filter(~held_out("doc_id")))
     found = docs.withColumn("_p", langid.predicted(spark, model, utf8("text")))
     kept = found.filter((F.col("_p.lang_pred") != langid.UNKNOWN) & (F.col("_p.score") >= LEAST_SCORE))
@@ -26,11 +27,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each SimHash component stays."""
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    bound_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -41,6 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens."""
+    bound_batches(spark)
     found = bpe.with_tokens(docs.select("doc_id", "lang", "source", "text"), queries.RANKS, public_tokenizers.PATTERN)
     return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 

@@ -248,6 +248,11 @@ class Encoder:
         self._trim()
         return packed
 
+    def forget(self) -> None:
+        """Empties the stores, so that a worker that goes on to other tasks doesn't hold them."""
+        self.pieces.clear()
+        self.words.clear()
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_all([text])), "<u4").tolist()
 
@@ -259,7 +264,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process; its stores last for a task."""
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Encoder(path, pattern)
     return _ENCODERS[path, pattern]
@@ -280,6 +285,7 @@ def with_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], found], names=[*names, ids])
+        own.forget()
 
     raw = df.select(*[F.col(c) for c in names], utf8(text).alias("_utf8_of_text"))
     return raw.mapInArrow(tokens, schema)
@@ -310,5 +316,6 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
                 ids = np.frombuffer(packed, "<u4").tolist()
                 rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return df.select(F.col(key), digests(utf8(text)).alias("_d")).select(key, "_d.*")

@@ -23,6 +23,19 @@ def held_out(name: str) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Rows that cross to a Python worker at once where rows hold whole texts.
+TEXT_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to TEXT_ROWS, if they are more: with texts in them, thousands of rows are tens of
+    megabytes, several times over in the executor and its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder that all executors share.
 
