@@ -60,3 +60,15 @@ def test_queries_against_sql(spark):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_batches_are_lowered_and_never_raised(spark):
+    from tessella.llm.common import TEXT_ROWS, bound_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for rows, want in (("10000", TEXT_ROWS), ("0", TEXT_ROWS), ("7", 7)):
+        spark.conf.set(name, rows)
+        bound_batches(spark)
+        assert int(spark.conf.get(name)) == want
+    spark.conf.set(name, before)
