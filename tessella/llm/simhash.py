@@ -246,6 +246,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
+def _rooted(docs: DataFrame, radius: int, block: int) -> DataFrame:
+    """docs: columns doc, fp and any others, checkpointed. Adds root, which names the component, and component_id."""
+    prints = docs.groupBy("fp").agg(F.min("doc").alias("least"))
+    roots = components(links(prints.select("fp"), radius, block))
+    joined = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return docs.join(joined.select("fp", "root").join(named, "root"), "fp")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """key, fp (long), component_id (the least key of the component) for every row.
 
@@ -253,20 +262,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     key never is a component's id unless it holds nothing else.
     """
     docs = checkpointed(df.select(F.col(key).alias("doc"), fingerprints(utf8(text)).alias("fp")))
-    prints = docs.groupBy("fp").agg(F.min("doc").alias("least"))
-    roots = components(links(prints.select("fp"), radius, block))
-    joined = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = joined.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return docs.join(by_print, "fp").select(F.col("doc").alias(key), "fp", "component_id")
+    return _rooted(docs, radius, block).select(F.col("doc").alias(key), "fp", "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df whose key is its component's id; of repeated rows with that key one stays. Rows without a key stay
-    if nothing else is in their component."""
-    found = checkpointed(near_duplicates(df.select(key, text), key, text, radius))
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
-    rows = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"))
-    once = rows.join(kept.filter("_n = 1"), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
-    again = rows.join(kept.filter("_n > 1"), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_key"])
+    """One row of df for each component: of the rows with its least key, that of least row hash. A row without a key stays
+    only if its component holds no key. Components are told apart by what links them, not by their id: two texts of one key
+    (or of none) that no links join both stay."""
+    # nulls are left out of Spark's hashes, so which columns are null is hashed too
+    whole = [*df.columns, *[F.col(c).isNull() for c in df.columns]]
+    hashed = df.withColumns({"_h1": F.xxhash64(*whole), "_h2": F.xxhash64(F.lit(1), *whole)})
+    docs = checkpointed(hashed.select(F.col(key).alias("doc"), "_h1", "_h2", fingerprints(utf8(text)).alias("fp")))
+    rows = _rooted(docs, radius, BLOCK).filter(F.col("doc").eqNullSafe(F.col("component_id")))
+    counts = rows.groupBy("root", "_h1", "_h2").agg(F.count("*").alias("_n"))
+    kept = checkpointed(counts.groupBy("root").agg(F.min(F.struct("_h1", "_h2", "_n")).alias("_k")).select("_k.*"))
+    packed = hashed.select(F.struct(*df.columns).alias("_row"), "_h1", "_h2")
+    once = packed.join(kept.filter("_n = 1"), ["_h1", "_h2"], "left_semi")
+    again = packed.join(kept.filter("_n > 1"), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
     return once.unionByName(again).select("_row.*")

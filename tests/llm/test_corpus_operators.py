@@ -181,6 +181,23 @@ def test_near_duplicate_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_by_component(spark):
+    """Null and repeated keys: every component keeps one row, whatever its key."""
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcdef"]
+    rows = [
+        (None, texts[0], "x"), (None, texts[1], "x"), (None, texts[2], None),  # alone
+        (1, texts[3], "x"), (1, texts[4], "x"),  # one key, two texts
+        (2, texts[5], "x"), (None, texts[5], "x"), (3, texts[5], "x"), (2, texts[5], "x"),  # copies of a document with a key
+    ]
+    for chosen in (rows, rows[:1] + rows[5:], rows[::-1]):
+        df = spark.createDataFrame(chosen, "doc_id long, text string, lang string")
+        kept = sorted((r["text"], str(r["doc_id"])) for r in simhash.keep_one(df).collect())
+        assert kept == sorted({(t, "2" if t == texts[5] else str(d)) for d, t, _ in chosen})
+    # rows alike but for the column that is null are two rows; one of the component stays
+    twins = spark.createDataFrame([(None, texts[0], "x", None), (None, texts[0], None, "x")], "doc_id long, text string, lang string, source string")
+    assert simhash.keep_one(twins).count() == 1
+
+
 def test_apportionment_is_by_highest_quotients(spark):
     rng = random.Random(4)
     rows = [(g, k, float(rng.choice([0, 1, 3, 7.5, 100, 2500])), seats) for g, seats in (("a", 0), ("b", 7), ("c", 400)) for k in range(9)]
