@@ -116,20 +116,42 @@ _ODD_BEYOND = re.compile(f"[{chr(0x10000)}-{chr(0x10FFFF)}]")
 _AT, _DOT = r"at|arroba|aroba|ät", r"dot|punkt|punto|point"
 _BRACKETED = re.compile(rf"\s{{0,3}}(?:\[\s?(?:({_AT})|({_DOT}))\s?\]|\(\s?(?:({_AT})|({_DOT}))\s?\)|\{{\s?(?:({_AT})|({_DOT}))\s?\}}|<\s?(?:({_AT})|({_DOT}))\s?>)\s{{0,3}}", re.I)
 _BRACKET = re.compile(r"[\[({<]\s?[aädp]", re.I)
-_SPOKEN = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]{{1,64}}(\s{{1,3}}(?:{_AT})\s{{1,3}}|@)[A-Za-z0-9-]{{1,63}}(?:(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}}", re.I)
-_SPOKEN_DOT = re.compile(rf"\s(?:{_DOT})\s", re.I)
+# no address: `at` before a number, time or price, which is a host of literal dots whose last label starts with a digit
+_NUMBER = rf"[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,8}}\.[0-9][A-Za-z0-9-]{{0,62}}(?!\.?[A-Za-z0-9-]|\s{{1,3}}(?:{_DOT})\s)"
+_SPOKEN = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]{{1,64}}(\s{{1,3}}(?:{_AT})\s{{1,3}}(?!{_NUMBER})|@)[A-Za-z0-9-]{{1,63}}(?:(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}}", re.I)
+#: What any match of _SPOKEN has from its @ on, and what a match needs for an edit.
+_SPOKEN_HOST = re.compile(rf"(?:\s(?:{_AT})\s{{1,3}}|@)[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]", re.I)
 _SPOKEN_PART = re.compile(rf"\s{{1,3}}(?:({_AT})|({_DOT}))\s{{1,3}}", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = rf"(?:[\s,]{{0,3}}\b(?:{_DOT})\b[\s,]{{0,3}}|[\s,.-]{{1,3}})"
 _SPELLED = re.compile(rf"(?:\bplus[\s,]{{1,3}})?\b(?:{_WORD})\b(?:{_GAP}(?:{_WORD})\b){{{LEAST_RUN - 1},}}", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPELLED_WORDS = frozenset([*DIGIT_WORDS, *_DOT.split("|")])
+_LOWER = {"\u017f": "s", "\u0130": "i", "\u0131": "i"}
 _SPELLED_PART = re.compile(rf"(plus)|\b({_WORD})\b|\b({_DOT})\b|.", re.I | re.S)
 
 
+def _lower(text: str) -> str:
+    """Lower case as patterns that ignore case see it: they also take long s and the two Turkish i."""
+    if not text.isascii():
+        for odd, plain in _LOWER.items():
+            text = text.replace(odd, plain)
+    return text.lower()
+
+
+# Cheap tests, each of the text that its transducer would get; none may refuse a text that the transducer would edit.
+def _may_bracket(text: str) -> bool:
+    return _BRACKET.search(text) is not None
+
+
 def _may_spell(text: str) -> bool:
     """Whether enough words in a row could be part of a spelled number; much cheaper than the pattern."""
-    return bytes([1] * LEAST_RUN) in bytes(map(_SPELLED_WORDS.__contains__, _WORDS.findall(text.lower())))
+    return bytes([1] * LEAST_RUN) in bytes(map(_SPELLED_WORDS.__contains__, _WORDS.findall(_lower(text))))
+
+
+def _may_speak(text: str) -> bool:
+    """Whether what follows a name in a spoken address is there."""
+    return _SPOKEN_HOST.search(text) is not None
 
 
 class Plain:
@@ -164,23 +186,20 @@ class Plain:
 
 def deobfuscated(text: str) -> Plain | None:
     """The plain form; None if no transducer changes anything."""
-    odd = not text.isascii() and (_ODD.search(text) or _ODD_BEYOND.search(text))
-    brackets = _BRACKET.search(text)
-    spoken = _SPOKEN_DOT.search(text)
-    spelled = _may_spell(text)
-    if not (odd or brackets or spoken or spelled):
-        return None
     plain = Plain(text)
-    if odd:
+    if not text.isascii() and (_ODD.search(text) or _ODD_BEYOND.search(text)):
         plain.rewrite([(k, k + 1, "" if c in INVISIBLE else _MAP[ord(c)]) for k, c in enumerate(text) if c in INVISIBLE or ord(c) in _MAP])
-    plain.rewrite([(m.start(), m.end(), "@" if any(m.groups()[::2]) else ".") for m in _BRACKETED.finditer(plain.text)])
-    edits = []
-    for m in _SPELLED.finditer(plain.text) if spelled else ():
-        for p in _SPELLED_PART.finditer(m[0]):
-            new = "+" if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else "." if p[3] else ""
-            edits.append((m.start() + p.start(), m.start() + p.end(), new))
-    plain.rewrite(edits)
-    plain.rewrite([(m.start() + p.start(), m.start() + p.end(), "@" if p[1] else ".") for m in _SPOKEN.finditer(plain.text) for p in _SPOKEN_PART.finditer(m[0])])
+    if _may_bracket(plain.text):
+        plain.rewrite([(m.start(), m.end(), "@" if any(m.groups()[::2]) else ".") for m in _BRACKETED.finditer(plain.text)])
+    if _may_spell(plain.text):
+        edits = []
+        for m in _SPELLED.finditer(plain.text):
+            for p in _SPELLED_PART.finditer(m[0]):
+                new = "+" if p[1] else DIGIT_WORDS[_lower(p[2])] if p[2] else "." if p[3] else ""
+                edits.append((m.start() + p.start(), m.start() + p.end(), new))
+        plain.rewrite(edits)
+    if _may_speak(plain.text):
+        plain.rewrite([(m.start() + p.start(), m.start() + p.end(), "@" if p[1] else ".") for m in _SPOKEN.finditer(plain.text) for p in _SPOKEN_PART.finditer(m[0])])
     return plain if any(plain.changed) else None
 
 

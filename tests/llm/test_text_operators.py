@@ -121,6 +121,41 @@ def test_pii_leaves_prose_alone():
         assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("write to john.doe at example.com today", "email", "john.doe at example.com"),
+        ("joe@mail dot example.org it is", "email", "joe@mail dot example.org"),
+        ("call plus one twо thr\u200bee four five six seven eight nine zero", "phone", "plus one twо thr\u200bee four five six seven eight nine zero"),
+        ("it is оne nine twо dot оne six eight dot оne dot оne, yes", "ip", "оne nine twо dot оne six eight dot оne dot оne"),
+        ("call plus \u017feven \u017fix five four three two one nine now", "phone", "plus \u017feven \u017fix five four three two one nine"),
+        ("jane а\u200bt mail dоt example dot org", "email", "jane а\u200bt mail dоt example dot org"),
+    ],
+)
+def test_pii_disguises_that_combine(text, kind, span):
+    base, added = pii.find(text)
+    assert not base and [(k, text[a:b]) for k, a, b in added] == [(kind, span)]
+
+
+def test_pii_leaves_numbers_after_at_alone():
+    for text in ("It starts at 10.30 today.", "sold at 3.50, not (at all) less", "from 9 at 10.30pm", "runs at 2.5.1 (always)"):
+        assert pii.find(text) == ([], [])
+
+
+_PIECES = ["john", ".", " ", "  ", " at ", "at", "@", " dot ", "dot", "[at]", " (dot) ", "{ät}", "<punkt>", "example", "com", "а", "\u200b", "ｏ", "one", "two ", "three, ", "four", "plus ", "\u017feven ", "s\u0130x ", "s\u0131x ", "nine", "-", "．", "［", "］", "\u212a", "pun\u212at", "7"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=24).map("".join))
+def test_pii_gates_refuse_nothing(text):
+    """Equal to the path that runs every transducer on every text."""
+    gated = pii.find(text)
+    with pytest.MonkeyPatch.context() as patch:
+        for gate in ("_may_bracket", "_may_spell", "_may_speak"):
+            patch.setattr(pii, gate, lambda _: True)
+        assert pii.find(text) == gated
+
+
 def test_pii_columns(spark, odd):
     got = odd.select(pii.spans(utf8("text")).alias("p")).select("p.*").collect()
     assert len(got) == odd.count() and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
