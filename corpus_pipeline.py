@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.llm import bpe, langid, mixing, pii, queries, simhash
 from tessella.llm.common import bound_batches, checkpointed, held_out, utf8
 
-#: Documents of which a lower share of letters is in the predicted language go.
+#: Documents of which a lower share of letters is in words of learned languages, all of them together, go.
 LEAST_SCORE = 0.4
 
 
@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     model = langid.fit(docs.filter(~held_out("doc_id")))
     found = docs.withColumn("_p", langid.predicted(spark, model, utf8("text")))
-    kept = found.filter((F.col("_p.lang_pred") != langid.UNKNOWN) & (F.col("_p.score") >= LEAST_SCORE))
+    kept = found.filter((F.col("_p.lang_pred") != langid.UNKNOWN) & (F.col("_p.known") >= LEAST_SCORE))
     return kept.select(*[F.col("_p.lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 

@@ -206,21 +206,25 @@ class Labeller:
             out = [*out[:-1], (out[-1][0], end, name)] if out and out[-1][2] == name else [*out, (start, end, name)]
         return out
 
-    def predict(self, raws: list[bytes]) -> Iterator[tuple[str, float]]:
+    def predict(self, raws: list[bytes]) -> Iterator[tuple[str, float, float]]:
+        """(language, score, share of the letters that are in words that some learned language could have)."""
         for start in range(0, len(raws), 256):
             cut = [self.words(raw.decode("utf-8", "replace")) for raw in raws[start : start + 256]]
             self.learn(set().union(*cut))
             for words in cut:
-                yield self.label(words)[:2]
+                name, score, labels = self.label(words)
+                size = np.array(list(map(len, words)))
+                known = 0.0 if labels is None else float(size[self.known[[self.place[w] for w in words]]].sum() / size.sum())
+                yield name, score, known
 
 
 def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
-    """Struct of lang_pred and score, of a column of bytes."""
+    """Struct of lang_pred, score and known, of a column of bytes."""
     shared = spark.sparkContext.broadcast(model)  # bounded by TRIGRAMS rows
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            yield pd.DataFrame(labeller.predict(list(batch)), columns=["lang_pred", "score"])
+            yield pd.DataFrame(labeller.predict(list(batch)), columns=["lang_pred", "score", "known"])
 
-    return F.pandas_udf(run, "struct<lang_pred: string, score: double>")(text)
+    return F.pandas_udf(run, "struct<lang_pred: string, score: double, known: double>")(text)

@@ -41,6 +41,16 @@ def test_rejected(spark):
     assert langid.UNKNOWN not in kept
 
 
+def test_mixed_languages_stay(spark):
+    """Parts of three or four languages, none with 40 % of the letters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    parts = {r["lang"]: r["text"] for r in docs.filter("length(text) > 400").orderBy("doc_id").collect()}
+    mixed = " ".join(parts[k][:400] for k in sorted(parts))
+    odd = spark.createDataFrame([(10**6, mixed, "en", "a", len(mixed)), (10**6 + 1, mixed[:100] + " καλημέρα κόσμε" * 20, "en", "a", 0)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(odd), SF).collect()}
+    assert len(parts) >= 3 and kept & {10**6, 10**6 + 1} == {10**6}
+
+
 def test_run_is_repeatable(spark):
     digest = lambda: hashlib.sha256(str(sorted((r["doc_id"], r["n_tokens"], sum(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect())).encode()).hexdigest()
     assert digest() == digest()
