@@ -182,6 +182,25 @@ def test_media_fingerprint_finds_a_tone():
     assert np.array_equal(media.landmarks(media.peaks(tone)), marks)
 
 
+def test_media_short_texts_and_frame_edges_count():
+    rng = np.random.default_rng(5)
+    words = ["river", "lamp", "of", "the", "seven", "cold", "orchard", "under", "glass", "tune"]
+    features = lambda x: media.landmarks(media.peaks(media.payload(x)))
+    # texts of one frame
+    texts = {" ".join(rng.choice(words, 30)).encode()[:180] for _ in range(40)}
+    marks = [features(x).tobytes() for x in texts]
+    assert all(marks) and len(set(marks)) > 0.9 * len(texts)
+    # a passage at another offset modulo the frame keeps some of its pairs
+    passage = rng.integers(0, 2, 8 * media.FRAME, dtype=np.uint8) * 60 + 40
+    pairs = lambda x: set((features(x.tobytes()) & (1 << 22) - 1).tolist())
+    moved = pairs(np.concatenate([passage[-media.FRAME // 2 :], passage]))
+    assert len(pairs(passage) & moved) > 0.5 * len(pairs(passage))
+    # a burst around a boundary of frames is seen
+    t = np.arange(8 * media.FRAME)
+    burst = 128 + 100 * np.sin(2 * np.pi * 40 * t / media.FRAME) * (np.abs(t - 4 * media.FRAME) < 40)
+    assert (media.peaks(burst.astype(np.uint8).tobytes())[:, 1] >= 0).any() and len(features(burst.astype(np.uint8).tobytes()))
+
+
 def test_media_columns(odd):
     rows = odd.select("text", media.described(utf8("text")).alias("m"), media.wav(utf8("text")).alias("w")).withColumn("f", media.fingerprint(F.col("w"))).collect()
     assert len(rows) == odd.count()
