@@ -202,15 +202,27 @@ NOTE_SQL = f"""SELECT seq, '---' || chr(10) || 'type: dump-item' || chr(10) || '
   || chr(10) || '**Folder:** open-tabs' || chr(10) AS note FROM ({OPEN_SQL})"""
 
 
-def bookmark_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "pages").selectExpr(
+def _tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr(
         "page_id AS id", "CASE WHEN page_id > 0 THEN page_id div 5 END AS parent_id", "CASE WHEN page_id >= 60 THEN 'WebBookmarkTypeLeaf' ELSE 'WebBookmarkTypeList' END AS type",
         "CASE WHEN page_id % 4 = 3 THEN '' WHEN page_id = 8 THEN 'com.apple.ReadingList' ELSE 'F' || cast(page_id AS string) END AS title", "url",
     )
-    found = flatten(nodes.filter("id < 250"))
+
+
+def _flat(nodes: DataFrame) -> DataFrame:
+    found = flatten(nodes)
     return found.select("id", "url", F.array_join("folders", " / ").alias("folder"), selection.in_reading_list(F.col("folders")).alias("reading_list"))
 
 
+def bookmark_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 250 pages, as its SQL has it; bookmark_tree_whole has all."""
+    return _flat(_tree_nodes(spark, sf_dir).filter("id < 250"))
+
+
+def bookmark_tree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_tree_nodes(spark, sf_dir))
+
+
 TREE_SQL = """WITH RECURSIVE nodes AS (
   SELECT page_id AS id, CASE WHEN page_id > 0 THEN page_id // 5 END AS parent_id, page_id >= 60 AS leaf, url,
     CASE WHEN page_id % 4 = 3 THEN '' WHEN page_id = 8 THEN 'com.apple.ReadingList' ELSE 'F' || page_id::VARCHAR END AS title FROM pages WHERE page_id < 250
@@ -221,6 +233,8 @@ TREE_SQL = """WITH RECURSIVE nodes AS (
 )
 SELECT id, url, folder, contains(folder, 'com.apple.ReadingList') AS reading_list FROM walk WHERE leaf"""
 
+WHOLE_TREE_SQL = TREE_SQL.replace(" WHERE page_id < 250", "")
+
 IDEA_BODY = """'### Key Ideas' || chr(10) || '- **Idea ' || cast(doc_id AS string) || '** #' || CASE WHEN doc_id % 3 = 0 THEN 'Tools' ELSE 'tools/' || lang END || ' — ' || replace(substr(text, 1, 70), chr(10), ' ') || chr(10)
   || CASE WHEN doc_id % 2 = 0 THEN '- **Second** #career — short claim' || chr(10) ELSE '' END || '### Connections' || chr(10) || '- [[topic ' || cast(doc_id % 7 AS string) || ']] — because' || chr(10) || '- [[' || lang || ']]' || chr(10)
   || '### Raw Quotes' || chr(10) || '> "Said ' || cast(doc_id AS string) || '" — Someone' || chr(10)"""
@@ -310,7 +324,7 @@ PLANS = {
     "archive_names": (archive_names, ARCHIVE_SQL), "collision_names": (collisions, COLLISION_SQL), "status_totals": (status_totals, TOTALS_SQL), "status_recent": (status_recent, RECENT_SQL),
     "dump_frontmatter": (dump_frontmatter, FRONTMATTER_SQL), "dump_rewritten": (dump_rewritten, REWRITTEN_SQL), "slugs": (slugs, SLUG_SQL), "open_tabs": (open_tabs, OPEN_SQL),
     "cloud_tabs": (cloud_tabs, CLOUD_SQL), "capture_counts": (capture_counts, COUNTS_SQL), "per_kind_limit": (per_kind_limit, LIMIT_SQL), "bookmark_dedupe": (bookmark_dedupe, DEDUPE_SQL),
-    "dump_note_texts": (dump_note_texts, NOTE_SQL), "bookmark_tree": (bookmark_tree, TREE_SQL), "key_ideas": (key_ideas, IDEAS_SQL), "connections": (connections, CONNECTIONS_SQL),
+    "dump_note_texts": (dump_note_texts, NOTE_SQL), "bookmark_tree": (bookmark_tree, TREE_SQL), "bookmark_tree_whole": (bookmark_tree_whole, WHOLE_TREE_SQL), "key_ideas": (key_ideas, IDEAS_SQL), "connections": (connections, CONNECTIONS_SQL),
     "idea_conformance": (idea_conformance, CONFORMANCE_SQL), "section_map": (section_map, SECTION_SQL), "lifecycle": (lifecycle, LIFECYCLE_SQL), "dashboard": (dashboard, DASHBOARD_SQL),
     "dashboard_view": (dashboard_view, VIEW_SQL), "kind_selection": (kind_selection, KIND_SQL),
 }

@@ -49,3 +49,10 @@ def test_no_python_and_no_cross_join_in_plans(spark):
     for name in ("page_text", "dump_frontmatter", "needs_classification", "routed_copies", "join_back", "key_ideas"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_whole_bookmark_tree_has_every_leaf(spark, tmp_path):
+    spark.range(2500).selectExpr("id AS page_id", "concat('u', id) AS url", "'' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = catalogue.QUERIES["bookmark_tree_whole"](spark, str(tmp_path)).collect()
+    sql = catalogue.ORACLE["bookmark_tree_whole"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, rows)) == sorted(duckdb.sql(sql).fetchall()) and {r["id"] for r in rows} == set(range(60, 2500))
