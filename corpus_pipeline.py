@@ -26,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each SimHash component stays."""
+    """The document of least id of each SimHash component stays. This catches almost identical texts: of pairs alike by 0.8
+    to 0.9 (five-word shingles) few are linked; the README has the recall measured."""
     bound_batches(spark)
     return simhash.keep_one(docs)
 
