@@ -1,19 +1,26 @@
 """Main text of HTML pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. Pass one decides what it can: blocks in menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments are out, as are blocks that are mostly links; blocks of an article element are
-in; elsewhere a block of some length is in if enough of its words are stop words. What is left, short blocks, headings and
-long ones with few stop words, is ambiguous. Pass two gives an ambiguous block the label of the nearest decided block; of
-two as near, the one that follows decides. Ambiguous blocks of a page in which nothing is decided are in.
+A page is cut into blocks at block-level tags. Pass one judges every block by three measures: link density (blocks that are
+mostly links are out), length (short blocks and headings are ambiguous) and stop-word density (of the others, those with enough stop
+words are in, and the rest are ambiguous). Pass two gives an ambiguous block the label of the nearest decided block of its
+container, or of the page if there is none there; of two as near the one that follows decides. If nothing on the page is let in,
+ambiguous blocks are.
+
+Markup is a further measure, which is weighed after those: what the rules would let in is out if it stands in an element whose
+tag, class, id or role names a menu, header, footer, sidebar, notice, advert, form or reader comments, or outside the
+article element of a page that has one with text let in; and an ambiguous block of an article element isn't put out by its neighbours
+outside. Pages without such markup are judged by the three measures alone.
 
 Null and empty pages have empty text. Malformed and cut-off markup is read to its end: an unclosed element lasts as long as
-the page, an unclosed tag or comment is markup. A page is held by one task; nothing is shuffled.
+the page, an unclosed tag or comment is markup. Rows that repeat are each extracted alike, and other columns aren't looked at. A page is held by one
+task, in time linear in its length; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,11 +28,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Share of a block's characters in links from which it is out, or in an article ambiguous.
+#: Share of a block's characters in links from which the block is out, or in an article ambiguous.
 LINKS = 0.4
-ARTICLE_LINKS = 0.9
-#: Words from which a block is decided by its stop words, and their least share.
-LONG = 10
+#: Words, or characters, from which a block is decided by its stop words, and their least share.
+LONG, LONG_CHARS = 15, 120
 STOP_SHARE = 0.1
 
 # Frequent function words of English, German, French and Spanish.
@@ -65,6 +71,7 @@ _MARKUP = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_WORDS = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in _HIDDEN}
@@ -75,8 +82,9 @@ IN, OUT, OPEN = 1, 0, None
 @dataclass
 class Block:
     tag: str
-    out: bool
+    named: bool  # in an element that names what isn't main text
     article: bool
+    home: int  # the innermost container
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -91,9 +99,10 @@ def _hinted(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open containers, and whether they are out
-    outs = articles = links = breaks = 0
-    now = Block("", False, False)
+    stack: list[tuple[str, bool, int]] = []  # open containers, whether they name what isn't main text, and the home around them
+    opened: Counter[str] = Counter()
+    outs = articles = links = breaks = home = homes = 0
+    now = Block("", False, False, 0)
     at = 0
 
     def text(piece: str) -> None:
@@ -112,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             found.append(now)
-        now = Block(tag, outs > 0, articles > 0)
+        now = Block(tag, outs > 0, articles > 0, home)
 
     while m := _MARKUP.search(page, at):
         text(page[at : m.start()])
@@ -134,19 +143,25 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _CONTAINERS:
             if closing:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if depth is not None:
-                    for name, out in stack[depth:]:
-                        outs -= out
-                        articles -= name in ("article", "main")
-                        links -= name == "a"
-                    del stack[depth:]
+                while opened[tag]:  # what is open within goes with it
+                    name, out, around = stack.pop()
+                    opened[name] -= 1
+                    outs -= out
+                    articles -= name in ("article", "main")
+                    links -= name == "a"
+                    home = around
+                    if name == tag:
+                        break
             elif tag not in _VOID:
                 out = tag != "a" and (tag in _OUT or tag == "header" and not articles or tag not in ("article", "main") and _hinted(attributes))
-                stack.append((tag, out))
+                stack.append((tag, out, home))
+                opened[tag] += 1
                 outs += out
                 articles += tag in ("article", "main")
                 links += tag == "a"
+                if tag != "a":
+                    homes += 1
+                    home = homes
         if tag in _BLOCK:
             fresh("" if closing else tag)
     text(page[at:])
@@ -154,48 +169,52 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def first_pass(block: Block, has_article: bool) -> int | None:
-    """IN, OUT, or OPEN for an ambiguous block."""
-    share = block.linked / len(block.text)
-    if block.out:
-        return OUT
-    if has_article:
-        return OUT if not block.article else OPEN if share >= ARTICLE_LINKS else IN
-    if share >= LINKS or block.text[0] == "©":
-        return OUT
-    words = block.text.lower().split()
-    if len(words) < LONG or block.tag in _HEADINGS:
-        return OPEN
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
-    return IN if stops >= STOP_SHARE * len(words) else OPEN
+def measured(block: Block) -> tuple[int | None, str]:
+    """The label of a block by itself, and the rule that gives it."""
+    if block.linked >= LINKS * len(block.text):
+        return OPEN if block.article and not block.named else OUT, "links"
+    if block.text[0] == "©":
+        return OUT, "mark"
+    words = _WORDS.findall(block.text.lower())
+    if len(words) < LONG and len(block.text) < LONG_CHARS or block.tag in _HEADINGS:
+        return OPEN, "length"
+    stops = sum(map(STOP_WORDS.__contains__, words))
+    return IN if stops >= STOP_SHARE * len(words) else OPEN, "stops"
+
+
+def first_pass(found: list[Block]) -> list[tuple[int | None, str]]:
+    """IN, OUT, or OPEN for ambiguous, and the rule that decides, of every block."""
+    judged = [measured(b) for b in found]
+    article = any(b.article and not b.named and label == IN for b, (label, _) in zip(found, judged))
+    for k, block in enumerate(found):
+        if judged[k][0] != OUT and (block.named or article and not block.article):
+            judged[k] = OUT, "markup"
+    return judged
 
 
-def second_pass(labels: list[int | None]) -> list[int]:
+def second_pass(found: list[Block], labels: list[int | None]) -> list[int]:
     """Open labels take that of the nearest decided block."""
-    n = len(labels)
-    before, after = [None] * n, [None] * n
-    for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+    if IN not in labels:
+        return [IN if label is OPEN else label for label in labels]
+    best: list[tuple[bool, int, bool, int] | None] = [None] * len(labels)  # in another container, distance, before, label
+    for before, order in ((True, range(len(labels))), (False, range(len(labels) - 1, -1, -1))):
+        last, last_of = None, {}
         for k in order:
+            block = found[k]
             if labels[k] is not OPEN:
-                last = k
-            side[k] = last
-    out = []
-    for k, label in enumerate(labels):
-        a, b = before[k], after[k]
-        if label is not OPEN:
-            out.append(label)
-        elif a is None and b is None:
-            out.append(IN)
-        else:
-            out.append(labels[b] if a is None or b is not None and b - k <= k - a else labels[a])
-    return out
+                last = last_of[block.home] = k
+                continue
+            for at, apart in ((last_of.get(block.home), False), (last, True)):
+                # a block beside an article has no say in it
+                if at is not None and not (apart and block.article and not found[at].article):
+                    offer = apart, abs(at - k), before, labels[at]
+                    best[k] = offer if best[k] is None else min(best[k], offer)
+    return [(IN if best[k] is None else best[k][-1]) if label is OPEN else label for k, label in enumerate(labels)]
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    has_article = any(b.article and not b.out for b in found)
-    labels = second_pass([first_pass(b, has_article) for b in found])
+    labels = second_pass(found, [label for label, _ in first_pass(found)])
     return "\n".join(b.text for b, label in zip(found, labels) if label == IN)
 
 
