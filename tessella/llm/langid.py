@@ -10,7 +10,7 @@ The pass is skipped where it can't matter: if no run of words gains more in any
 k foreign runs gain at most k / 2 switches and pay k, or k - 1 if all runs are foreign, so the best single language is the best path.
 
 A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned. Letters of scripts that no learned language uses count as
-nobody's, so they lower the score. Ties go to the language that sorts first.
+nobody's, so they lower the score. Each row is judged by its own text: rows that repeat have one result, and columns with other names aren't looked at. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ whole frame lengths, in the lower the hops beyond that and then the pair's hash
 
 A payload shorter than a frame stands in its middle, and what the last frame lacks is filled, at the payload's mean. The
 strongest peak of a frame always counts; if no two peaks make a pair, each is paired with itself. Within the first and last HOP samples only one
-frame sees a sample, with the falling weight of its window. Null and empty texts have the payload of PAD spaces. Silence has no
+frame sees a sample, with the falling weight of its window. Rows that repeat a text have the same values, and other columns aren't looked at. Null and empty texts have the payload of PAD spaces. Silence has no
 peaks, and so has a payload of one byte. Sizes are bounded by the longest text, which one
 task holds; frames are transformed some thousands at a time.
 """
@@ -109,14 +109,14 @@ def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             marks = landmarks(peaks(back)).astype("<i8")
             rows.append((
                 len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(),
-                len(marks), f"{len(marks)}:{hashlib.md5(marks.tobytes()).hexdigest()}",
+                f"{len(marks)}:{hashlib.md5(marks.tobytes()).hexdigest()}", len(marks),
             ))
-        yield pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_landmarks", "feature"])
+        yield pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_landmarks"])
 
 
 def described(text: Column) -> Column:
     """Struct of sizes, digests and the digest of the landmarks, of a column of bytes; the media stay in the worker."""
-    kind = "struct<n_bytes: bigint, payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, n_landmarks: bigint, feature: string>"
+    kind = "struct<n_bytes: bigint, payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, feature: string, n_landmarks: bigint>"
     return F.pandas_udf(_described, kind)(text)
 
 

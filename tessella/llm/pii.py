@@ -7,7 +7,9 @@ host dot tld` becomes an address, and runs of spelled digits become digits. The
 they find is mapped back to source characters. A found span is added if a transducer changed something within it and no base
 span of its kind overlaps it; base spans always stay.
 
-Offsets are code points, ends exclusive. Null and empty texts have no spans. Detectors are linear in the text.
+Offsets are code points, ends exclusive. Null and empty texts have no spans. Detectors and transducers have no bounds on the
+length of a name, host, number or space between, and are linear in the text. Each row is judged by its own text: rows that
+repeat have the same spans, and other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,19 +116,22 @@ _MAP = _single_ascii() | {ord(k): v for k, v in LOOK_ALIKES.items()}
 _ODD = re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_MAP) if k < 0x10000) + INVISIBLE + "]")
 _ODD_BEYOND = re.compile(f"[{chr(0x10000)}-{chr(0x10FFFF)}]")
 _AT, _DOT = r"at|arroba|aroba|ät", r"dot|punkt|punto|point"
-_BRACKETED = re.compile(rf"\s{{0,3}}(?:\[\s?(?:({_AT})|({_DOT}))\s?\]|\(\s?(?:({_AT})|({_DOT}))\s?\)|\{{\s?(?:({_AT})|({_DOT}))\s?\}}|<\s?(?:({_AT})|({_DOT}))\s?>)\s{{0,3}}", re.I)
-_BRACKET = re.compile(r"[\[({<]\s?[aädp]", re.I)
+# A run of white space is entered at its first character only, and runs are taken whole: no bound, and linear.
+_EDGE = r"(?:(?<!\s)\s++)?+"
+_BRACKETED = re.compile(rf"{_EDGE}(?:\[\s*+(?:({_AT})|({_DOT}))\s*+\]|\(\s*+(?:({_AT})|({_DOT}))\s*+\)|\{{\s*+(?:({_AT})|({_DOT}))\s*+\}}|<\s*+(?:({_AT})|({_DOT}))\s*+>)\s*+", re.I)
+_BRACKET = re.compile(r"[\[({<]\s*+[aädp]", re.I)
 # no address: `at` before a number, time or price, which is a host of literal dots whose last label starts with a digit
-_NUMBER = rf"[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,8}}\.[0-9][A-Za-z0-9-]{{0,62}}(?!\.?[A-Za-z0-9-]|\s{{1,3}}(?:{_DOT})\s)"
-_SPOKEN = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]{{1,64}}(\s{{1,3}}(?:{_AT})\s{{1,3}}(?!{_NUMBER})|@)[A-Za-z0-9-]{{1,63}}(?:(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}}", re.I)
+_NUMBER = rf"(?:[A-Za-z0-9-]++\.)+[0-9][A-Za-z0-9-]*+(?!\.[A-Za-z0-9-]|\s++(?:{_DOT})\s)"
+_SPOKEN = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++(\s++(?:{_AT})\s++(?!{_NUMBER})|@)[A-Za-z0-9-]++(?:(?:\s++(?:{_DOT})\s++|\.)[A-Za-z0-9-]++)++", re.I)
 #: What any match of _SPOKEN has from its @ on, and what a match needs for an edit.
-_SPOKEN_HOST = re.compile(rf"(?:\s(?:{_AT})\s{{1,3}}|@)[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]", re.I)
-_SPOKEN_PART = re.compile(rf"\s{{1,3}}(?:({_AT})|({_DOT}))\s{{1,3}}", re.I)
+_SPOKEN_HOST = re.compile(rf"(?:\s(?:{_AT})\s++|@)[A-Za-z0-9-]++(?:\s++(?:{_DOT})\s++|\.)[A-Za-z0-9-]", re.I)
+_SPOKEN_PART = re.compile(rf"\s++(?:({_AT})|({_DOT}))\s++", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_GAP = rf"(?:[\s,]{{0,3}}\b(?:{_DOT})\b[\s,]{{0,3}}|[\s,.-]{{1,3}})"
-_SPELLED = re.compile(rf"(?:\bplus[\s,]{{1,3}})?\b(?:{_WORD})\b(?:{_GAP}(?:{_WORD})\b){{{LEAST_RUN - 1},}}", re.I)
+_GAP = rf"(?:[\s,]*+\b(?:{_DOT})\b[\s,]*+|[\s,.-]++)"
+_SPELLED = re.compile(rf"(?:\bplus[\s,]++)?\b(?:{_WORD})\b(?:{_GAP}(?:{_WORD})\b){{{LEAST_RUN - 1},}}", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
-_SPELLED_WORDS = frozenset([*DIGIT_WORDS, *_DOT.split("|")])
+_DOTS = frozenset(_DOT.split("|"))
+_SPELLED_WORDS = _DOTS | frozenset(DIGIT_WORDS)
 _LOWER = {"\u017f": "s", "\u0130": "i", "\u0131": "i"}
 _SPELLED_PART = re.compile(rf"(plus)|\b({_WORD})\b|\b({_DOT})\b|.", re.I | re.S)
 
@@ -154,6 +159,33 @@ def _may_speak(text: str) -> bool:
     return _SPOKEN_HOST.search(text) is not None
 
 
+def _back(text: str, at: int, least: int, wanted: Callable[[str], bool]) -> int:
+    """Where the run of wanted characters that ends before `at` begins."""
+    while at > least and wanted(text[at - 1]):
+        at -= 1
+    return at
+
+
+def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of spoken addresses. Spoken dots of a name are sought backwards, no further than the address before."""
+    least = 0
+    for m in _SPOKEN.finditer(text):
+        dots, start = [], m.start()
+        while True:
+            end = _back(text, start, least, str.isspace)
+            dot = _back(text, end, least, str.isalpha)
+            last = _back(text, dot, least, str.isspace)
+            first = _back(text, last, least, _LOCAL_CHARS.__contains__)
+            if text[dot:end].lower() not in _DOTS or end == start or last == dot or first == last:
+                break
+            dots.append((last, start, "."))
+            start = first
+        yield from reversed(dots)
+        for p in _SPOKEN_PART.finditer(m[0]):
+            yield m.start() + p.start(), m.start() + p.end(), "@" if p[1] else "."
+        least = m.end()
+
+
 class Plain:
     """A rewritten text; character k stands for source[starts[k]:ends[k]], and changed[k] says that it isn't as written."""
 
@@ -199,7 +231,7 @@ def deobfuscated(text: str) -> Plain | None:
                 edits.append((m.start() + p.start(), m.start() + p.end(), new))
         plain.rewrite(edits)
     if _may_speak(plain.text):
-        plain.rewrite([(m.start() + p.start(), m.start() + p.end(), "@" if p[1] else ".") for m in _SPOKEN.finditer(plain.text) for p in _SPOKEN_PART.finditer(m[0])])
+        plain.rewrite(list(_spoken(plain.text)))
     return plain if any(plain.changed) else None
 
 
@@ -241,13 +273,13 @@ def _spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for raw in batch:
             base, added = find(raw.decode("utf-8", "replace"))
             kinds = [x[0] for x in base]
-            rows.append((*map(kinds.count, KINDS), len(added), hashlib.sha256(written(base).encode()).hexdigest(), written([*base, *added])))
-        yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
+            rows.append((*map(kinds.count, KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written([*base, *added]), len(added)))
+        yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
 
 def spans(text: Column) -> Column:
-    """Struct of the numbers of base spans by kind, of added spans, the digest of base spans, and all spans, of a column of bytes."""
-    kind = "struct<n_email: bigint, n_ip: bigint, n_card: bigint, n_phone: bigint, n_added: bigint, base_sha256: string, spans: string>"
+    """Struct of the numbers of base spans by kind, the digest of base spans, all spans, and the number of added ones, of a column of bytes."""
+    kind = "struct<n_email: bigint, n_ip: bigint, n_card: bigint, n_phone: bigint, base_sha256: string, spans: string, n_added: bigint>"
     return F.pandas_udf(_spans, kind)(text)
 
 

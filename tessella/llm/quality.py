@@ -5,7 +5,8 @@ normal. Each class has a mean and a covariance, shrunk towards its own diagonal
 score is the logistic of the difference of the classes' log-densities, each a Mahalanobis distance through a cached Cholesky
 factor, plus the log prior. Fitting needs sums of products only, which Spark adds up over all labelled rows.
 
-Null and empty texts have the statistics of an empty text and a score like any other. With fewer than two labelled rows in a
+Null and empty texts have the statistics of an empty text and a score like any other. Rows that repeat count each when fitted and have one score;
+other columns, whatever their names, aren't looked at. With fewer than two labelled rows in a
 class every score is the share of class 1 (0.5 if there are no labels).
 """
 
@@ -105,7 +106,7 @@ def stated(text: Column) -> Column:
 class Model:
     prior: float
     means: np.ndarray | None = None  # class, statistic
-    factors: np.ndarray | None = None  # inverses of the Cholesky factors
+    factors: np.ndarray | None = None  # Cholesky factors, lower
     logdets: np.ndarray | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -113,8 +114,8 @@ class Model:
             return np.full(len(x), self.prior)
         density = []
         for mean, factor, logdet in zip(self.means, self.factors, self.logdets):
-            z = (x - mean) @ factor.T
-            density.append(-0.5 * ((z * z).sum(axis=1) + logdet))
+            z = np.linalg.solve(factor, (x - mean).T)
+            density.append(-0.5 * ((z * z).sum(axis=0) + logdet))
         odds = (density[1] - density[0] + np.log(self.prior / (1 - self.prior))) / TEMPERATURE
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
@@ -136,13 +137,12 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(rows: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) -> Model:
     """rows: x array<double>, y 0 or 1. Each task returns at most one row of sums for each class, and sums are added by position."""
     parts = rows.select("x", "y").mapInPandas(_summed, "label int, n long, s array<double>, p array<double>")
-    cells = parts.select("label", "n", F.posexplode(F.concat("s", "p")).alias("k", "v"))
-    totals = {r["label"]: r["n"] for r in parts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    cells = parts.select("label", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "p")).alias("k", "v"))
     size = len(NAMES)
-    flat = np.zeros((2, size + size * size))
-    for r in cells.groupBy("label", "k").agg(F.sum("v").alias("v")).collect():  # 2 * (size + size^2) rows
+    flat = np.zeros((2, 1 + size + size * size))
+    for r in cells.groupBy("label", "k").agg(F.sum("v").alias("v")).collect():  # 2 * (1 + size + size^2) rows
         flat[r["label"], r["k"]] = r["v"]
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    (n0, n1), flat = map(int, flat[:, 0]), flat[:, 1:]
     if n0 < 2 or n1 < 2:
         return Model(n1 / (n0 + n1) if n0 + n1 else 0.5)
     means, covariances = [], []
@@ -155,7 +155,7 @@ def fit(rows: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) -> Model:
     for cov in covariances:
         shrunk = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + ridge * np.diag(pooled)
         factor = np.linalg.cholesky(shrunk)
-        factors.append(np.linalg.inv(factor))
+        factors.append(factor)
         logdets.append(2 * np.log(np.diag(factor)).sum())
     return Model(n1 / (n0 + n1), np.array(means), np.array(factors), np.array(logdets))
 
