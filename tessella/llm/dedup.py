@@ -5,19 +5,21 @@ starts later than its first start, judged on the input.
 
 1. Sampling. Each string of `length` bytes has one anchor, the gram of GRAM bytes with the least hash in it, the leftmost of
    equals; so equal strings have equal anchors at equal places, and consecutive starts with one anchor form a run. A run is
-   a row: the name of its gram, the name of all its bytes (two 64-bit hashes), and where it is. A document has about one
-   run for 35 bytes.
-2. Names. Of runs that are alike in both names only the first of a batch leaves the task, and the rest are removed; then
-   runs are dealt by gram. There again all but the first of runs alike are removed, and a gram with one run left is done.
-3. Suffixes. What remains are different runs around one gram, as at the edges of edits. Their bytes are fetched from the
-   documents and dealt by gram, and the suffixes of a batch of grams are sorted by the difference-cover algorithm: sampled
-   triples, recursion on names, merge of the rest. Adjacent suffixes are compared over `length` bytes, and of those alike all but the
-   first are removed.
-4. A gram with more than HOT different runs isn't sorted in one task: its strings are named one by one (128 bits), which
-   deals them apart, and again only the first of a name in a batch leaves the task.
-
-Null and empty texts, and texts shorter than `length`, lose nothing. Of rows that repeat both id and text, the first stays as it is judged,
-and the others lose all if they have `length` bytes.
+   a row: the names (64-bit hashes) of its gram and of all its bytes, and where it is. A document has about one run for 35 bytes.
+2. Choice. A run whose gram is nowhere else repeats nothing. Names only choose: they are dealt by gram, and where a gram occurs
+   in several runs, these go on. A batch of documents deals a few rows for a gram, however often it occurs there.
+3. Suffixes. The bytes of these runs are fetched from the documents and dealt by gram. Runs of one name are compared byte
+   by byte with the first, and removed if they are alike. The suffixes of a batch of the runs that remain, different ones around one gram, are
+   sorted by the difference-cover algorithm: sampled triples, recursion on names, merge of the rest. Adjacent suffixes
+   are compared over `length` bytes, and of those alike all but the first are removed.
+4. A gram in about HOT different runs or more isn't sorted in one task: its strings are dealt one by one instead, each by its own
+   name, and compared in the same way. So HOT decides where bytes are compared and changes no result.
+
+No byte is removed by a hash alone: two strings that collide in their names are told apart where they meet. Before each shuffle runs that are
+alike within a batch are folded, again by their bytes.
+
+Null and empty texts, and texts shorter than `length`, lose nothing. Of rows that repeat both id and text (by a 64-bit hash), the first stays as it is judged,
+and the others lose all if they have `length` bytes. Other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -27,18 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import utf8, written
+from tessella.llm.common import bound_batches, utf8, written
 from tessella.llm.suffixes import repeats
 
 LENGTH = 100
 GRAM = 32
 HOT = 4096
-#: Bytes that are hashed together in one task, and that are sorted together.
-CHUNK, SORTED = 1 << 20, 1 << 20
+#: Bytes that are hashed together in one task, that are sorted together, and that are folded together before a shuffle.
+CHUNK, SORTED, FOLDED = 1 << 20, 1 << 20, 1 << 24
+#: Rows that a batch deals for a gram: its least names, from which the number of different ones is estimated.
+TOKENS = 16
+#: Hot grams up to which a table of them is broadcast, at 8 bytes each; a larger one is joined by shuffles.
+BROADCAST = 100_000
 
 _BITS = 21
 _LAST = np.iinfo(np.int64).max
@@ -154,126 +161,196 @@ def _merged(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[new], th[new], start[new], (np.concatenate([reach[new[1:] - 1], reach[-1:]]) - shift[new])
 
 
-_ROW = "k long, c long, doc long, th long, a long, n long"
+#: Rows that are dealt: a run whose gram must be met elsewhere, a run whose gram is repeated for sure, a name that only tells
+#: of such a gram, and removed bytes.
+RUN, SURE, TOKEN, GONE = range(4)
+#: d deals a row; an holds a, n and the kind. GONE rows have their end in c.
+_DEALT = "d long, k long, c long, doc long, th long, an long"
+_NAMED = "k long, c long, doc long, th long, a long, n long, kind long"
+_FETCHED = _NAMED + ", part binary"
 
 
-def _frame(k, c, doc, th, a, n) -> pd.DataFrame:
-    return pd.DataFrame({"k": k, "c": c, "doc": doc, "th": th, "a": a, "n": n}, dtype=np.int64)
+def _folded(k, c, doc, th, a, bytes_of) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stay, in order of names and places; later rows with the bytes of the first of their names). A row that repeats id and text
+    has the same runs and is dropped."""
+    order = np.lexsort((a, th, doc, c, k))
+    order = order[_first_of(order, k, c, doc, th, a)]
+    first = _first_of(order, k, c)
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    gone = ~first
+    at = np.flatnonzero(gone)
+    gone[at] = [bytes_of(i) == bytes_of(j) for i, j in zip(order[at].tolist(), lead[at].tolist())]
+    return order[~gone], order[gone]
 
 
-def _removed_frame(doc, th, start, end) -> pd.DataFrame:
-    """Removed bytes travel with the runs, as rows with n below zero; their names only spread them."""
-    doc, th, start, end = _merged(doc, th, start, end)
-    return _frame(_stirred(doc.astype(np.uint64)).view(np.int64), 0, doc, th, start, start - end)
+def _dealt(columns) -> pd.DataFrame:
+    d, k, c, doc, th, a, n, kind = np.broadcast_arrays(*columns)
+    return pd.DataFrame({"d": d, "k": k, "c": c, "doc": doc, "th": th, "an": a << 18 | n << 2 | kind}, dtype=np.int64)
 
 
-def _local(k, c, doc, th, a, n, length: int) -> Iterator[pd.DataFrame]:
-    """The first of runs alike, and the bytes of the others; a row that repeats id and text has the same runs and is dropped."""
-    order = np.lexsort((a, th, doc, c, k))
-    order = order[_first_of(order, k, c, doc, th, a)]
-    first = _first_of(order, k, c)
-    kept, gone = order[first], order[~first]
-    if len(kept):
-        yield _frame(k[kept], c[kept], doc[kept], th[kept], a[kept], n[kept])
-    if len(gone):
-        yield _removed_frame(doc[gone], th[gone], a[gone], a[gone] + n[gone] + length - 1)
+def _spread(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
+    return _stirred((doc ^ a << 40).astype(np.uint64)).view(np.int64)
 
 
 def _sampled(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
+    def flushed(texts: list[bytes], docs: np.ndarray, ths: np.ndarray) -> Iterator[pd.DataFrame]:
+        at, a, n, k, c = runs(texts, length, gram)
+        doc, th = docs[at], ths[at]
+        where, start, end = at.tolist(), a.tolist(), (a + n + length - 1).tolist()
+        kept, gone = _folded(k, c, doc, th, a, lambda i: texts[where[i]][start[i] : end[i]])
+        if len(gone):
+            x = _merged(doc[gone], th[gone], a[gone], a[gone] + n[gone] + length - 1)
+            yield _dealt((_spread(x[0], x[2]), 0, x[3], x[0], x[1], x[2], 0, GONE))
+        if len(kept):
+            k, c, doc, th, a, n = (x[kept] for x in (k, c, doc, th, a, n))
+            begin = np.flatnonzero(_first_of(np.arange(len(k)), k))
+            size = np.diff(np.concatenate([begin, [len(k)]]))
+            several = np.repeat(size, size) > 1
+            token = several & (np.arange(len(k)) - np.repeat(begin, size) < TOKENS)
+            yield _dealt((np.where(several, _spread(doc, a), k), k, c, doc, th, a, n, np.where(several, SURE, RUN)))
+            yield _dealt((k[token], k[token], c[token], doc[token], th[token], a[token], n[token], TOKEN))
+
+    texts, rows, size = [], [], 0
     for batch in batches:
-        at, a, n, k, c = runs(batch["raw"].tolist(), length, gram)
-        doc, th = batch["doc"].to_numpy(np.int64)[at], batch["th"].to_numpy(np.int64)[at]
-        yield from _local(k, c, doc, th, a, n, length)
+        texts += batch["raw"].tolist()
+        rows.append(batch[["doc", "th"]].to_numpy(np.int64))
+        size += batch["raw"].str.len().sum()
+        if size > FOLDED:
+            yield from flushed(texts, *np.concatenate(rows).T)
+            texts, rows, size = [], [], 0
+    if texts:
+        yield from flushed(texts, *np.concatenate(rows).T)
 
 
-class _Classes:
-    """Grams of one task, in order. Removed rows pass; of runs alike all but the first are removed; grams with several
-    different runs give rows with n > 0 and c 1 if there are more than `hot`, or else 0. At most about `hot` rows wait for the rest of a gram."""
+class _Grams:
+    """Decides the grams of one task, sorted by d, c and place: runs of repeated grams and sure ones go on, and a TOKEN row names each
+    gram that is hot. Of a gram that goes on in the next batch only its numbers and at most one row wait."""
 
-    def __init__(self, length: int, hot: int):
-        self.length, self.hot = length, hot
-        self.waiting = None
-        self.hot_gram: int | None = None
+    def __init__(self, hot: int):
+        self.hot = hot
+        self.k, self.c, self.rows, self.names, self.held = None, None, 0, 0, None
 
     def batch(self, pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-        gone = (pdf["n"] < 0).to_numpy()
-        if gone.any():
-            yield pdf[gone]
-            pdf = pdf[~gone]
-        if self.waiting is not None:
-            pdf = pd.concat([self.waiting, pdf], ignore_index=True)
-            self.waiting = None
-        if not len(pdf):
+        kind = pdf["an"].to_numpy() & 3
+        through = (kind == SURE) | (kind == GONE)
+        yield self._named(pdf[through])
+        pdf, kind = pdf[~through], kind[~through]
+        k, c = pdf["k"].to_numpy(), pdf["c"].to_numpy()
+        if not len(k):
             return
-        k, c, doc, th, a, n = (pdf[x].to_numpy() for x in ("k", "c", "doc", "th", "a", "n"))
-        first = _first_of(np.arange(len(k)), k, c)
-        if not first.all():
-            again = ~first & _first_of(np.arange(len(k)), k, c, doc, th, a)
-            yield _removed_frame(doc[again], th[again], a[again], a[again] + n[again] + self.length - 1)
-            k, c, doc, th, a, n = (x[first] for x in (k, c, doc, th, a, n))
-        starts = np.flatnonzero(_first_of(np.arange(len(k)), k))
-        sizes = np.diff(np.concatenate([starts, [len(k)]]))
-        size = np.repeat(sizes, sizes)
-        hot = (size > self.hot) | (k == self.hot_gram if self.hot_gram is not None else False)
-        done = np.ones(len(k), bool)
+        begin = np.flatnonzero(_first_of(np.arange(len(k)), k))
+        size = np.diff(np.concatenate([begin, [len(k)]]))
+        on = self.k is not None and k[0] == self.k
+        new = _first_of(np.arange(len(k)), k, c).astype(np.int64)
+        new[0] -= on and c[0] == self.c
+        names = np.cumsum(new)
+        before = np.concatenate([[0], names[begin[1:] - 1]])
+        before[0] -= self.names if on else 0
+        names -= np.repeat(before, size)  # different names of the gram up to each row
+        rows = size.copy()
+        rows[0] += self.rows if on else 0
+        if self.held is not None:
+            if on and rows[0] > 1:
+                yield self._named(self.held)
+            if not on or rows[0] > 1:
+                self.held = None
+        some = (kind == RUN) & np.repeat(rows > 1, size)
+        yield self._named(pdf[some])
+        # the TOKENS-th least name, as a share of all, tells how many there are
+        full = (new == 1) & (names == TOKENS)
+        share = (c[full].astype(float) + 2.0**63 + 1) / 2.0**64
+        hot = k[full][(TOKENS - 1) / share > self.hot].tolist()
+        whole = names[begin + size - 1]
+        few = (whole < TOKENS) & (whole > self.hot)
         if not last:
-            done[starts[-1] :] = False
-            if hot[-1]:
-                # all but the last run can go; that one waits, for runs alike may follow
-                done[starts[-1] : -1] = True
-                self.hot_gram = int(k[-1])
-            rest = ~done
-            self.waiting = _frame(k[rest], c[rest], doc[rest], th[rest], a[rest], n[rest])
-        some = done & ((size > 1) | hot)
-        if some.any():
-            yield _frame(k[some], hot[some].astype(np.int64), doc[some], th[some], a[some], n[some])
-
-
-def _classes(batches: Iterator[pd.DataFrame], length: int, hot: int) -> Iterator[pd.DataFrame]:
-    """batches: sorted by k, c, doc, th, a."""
-    classes, held = _Classes(length, hot), None
+            few[-1] = False
+        hot += k[begin[few]].tolist()
+        if hot:
+            yield pd.DataFrame({"k": hot} | dict.fromkeys(("c", "doc", "th", "a", "n"), 0) | {"kind": TOKEN}, dtype=np.int64)
+        if not on and self.k is not None and self.hot < self.names < TOKENS:
+            yield pd.DataFrame({"k": [self.k]} | dict.fromkeys(("c", "doc", "th", "a", "n"), 0) | {"kind": TOKEN}, dtype=np.int64)
+        self.k, self.c, self.rows, self.names = int(k[-1]), int(c[-1]), int(rows[-1]), int(whole[-1])
+        if not last and rows[-1] == 1:
+            self.held = pdf[-1:]
+
+    @staticmethod
+    def _named(pdf: pd.DataFrame) -> pd.DataFrame:
+        an = pdf["an"].to_numpy()
+        return pd.DataFrame({x: pdf[x].to_numpy() for x in ("k", "c", "doc", "th")} | {"a": an >> 18, "n": an >> 2 & 0xFFFF, "kind": an & 3}, dtype=np.int64)
+
+
+def _repeated(batches: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
+    """batches: sorted by d, c, doc, th, an."""
+    grams, held = _Grams(hot), None
     for batch in batches:
         if held is not None:
-            yield from classes.batch(held, False)
+            yield from grams.batch(held, False)
         held = batch
     if held is not None:
-        yield from classes.batch(held, True)
+        yield from grams.batch(held, True)
+
 
+def _rows(k, c, doc, th, a, n, kind, part: list | None) -> pa.RecordBatch:
+    size = len(doc)
+    numbers = [pa.array(np.broadcast_to(np.asarray(x, np.int64), size)) for x in (k, c, doc, th, a, n, kind)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.nulls(size, pa.binary()) if part is None else pa.array(part, pa.binary())], names=_FETCHED.replace(" long", "").replace(" binary", "").split(", "))
 
-def _fetched(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Bytes of runs; strings of hot grams by name, without bytes."""
+
+def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of runs; of hot grams, of their strings one by one. batches: doc, th, nul, raw, wanted."""
     one, two = _hashes()
+
+    def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        k, c, doc, th, a, n = (np.concatenate([x[i] for x in held]) for i in range(6))
+        parts = [part for x in held for part in x[6]]
+        kept, gone = _folded(k, c, doc, th, a, parts.__getitem__)
+        if len(gone):
+            x = _merged(doc[gone], th[gone], a[gone], a[gone] + n[gone] + length - 1)
+            yield _rows(_spread(x[0], x[2]), x[3], x[0], x[1], x[2], 0, GONE, None)
+        for at in range(0, len(kept), 100_000):
+            own = kept[at : at + 100_000]
+            yield _rows(*(x[own] for x in (k, c, doc, th, a, n)), RUN, [parts[i] for i in own.tolist()])
+
+    held, size = [], 0
     for batch in batches:
-        rows, names = [], []
-        for doc, th, raw, wanted in zip(batch["doc"], batch["th"], batch["raw"], batch["wanted"]):
-            for x in wanted:
-                a, n = x["a"], x["n"]
-                part = raw[a : a + n + length - 1]
-                if not x["c"]:
-                    rows.append((x["k"], 0, doc, th, a, n, part))
-                    continue
-                letters = np.frombuffer(part, np.uint8)
-                at = np.arange(n)
-                k, c = (h.of(h.prefix(letters), at, at + length).view(np.int64) for h in (one, two))
-                names.append((k, c, np.full(n, doc), np.full(n, th), a + at, np.ones(n, np.int64)))
-        if rows:
-            yield pd.DataFrame(rows, columns=["k", "c", "doc", "th", "a", "n", "part"])
-        if names:
-            for pdf in _local(*(np.concatenate(x) for x in zip(*names)), length):
-                yield pdf.assign(part=None)
-
-
-def _sorted_out(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """batches: sorted by k, c, doc, th, a. Returns removed bytes."""
-    empty = pd.DataFrame({"doc": [], "th": [], "a": [], "b": []}, dtype=np.int64)
-
-    def intervals(doc, th, a, b) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("doc", "th", "a", "b"), _merged(doc, th, a, b))), dtype=np.int64)
-
-    def grams(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "th", "a"]).drop_duplicates(["doc", "th", "a"])
-        doc, th, a, n = (pdf[x].to_numpy() for x in ("doc", "th", "a", "n"))
-        text = np.frombuffer(b"".join(pdf["part"]), np.uint8)
+        doc, th, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4)
+        own = np.repeat(np.arange(len(doc)), wanted.value_lengths().to_numpy())
+        flat = wanted.flatten()
+        k, c, a, n, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        texts = batch.column(3).to_pylist()
+        cold = np.flatnonzero(~hot)
+        found = [texts[i][x:y] for i, x, y in zip(own[cold].tolist(), a[cold].tolist(), (a + n + length - 1)[cold].tolist())]
+        held.append((k[cold], c[cold], doc[own[cold]], th[own[cold]], a[cold], n[cold], found))
+        size += sum(map(len, found))
+        for i in np.flatnonzero(hot):
+            at = np.arange(n[i])
+            part = texts[own[i]][a[i] : a[i] + n[i] + length - 1]
+            letters = np.frombuffer(part, np.uint8)
+            names = [h.of(h.prefix(letters), at, at + length).view(np.int64) for h in (one, two)]
+            held.append((*names, np.full(n[i], doc[own[i]]), np.full(n[i], th[own[i]]), a[i] + at, np.ones(n[i], np.int64), [part[j : j + length] for j in range(n[i])]))
+            size += length * int(n[i])
+            if size > FOLDED:
+                yield from flushed(held)
+                held, size = [], 0
+        if size > FOLDED:
+            yield from flushed(held)
+            held, size = [], 0
+    if held:
+        yield from flushed(held)
+
+
+def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """batches: _FETCHED, sorted by k, c, doc, th, a. Returns removed bytes."""
+
+    def intervals(doc, th, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _merged(doc, th, a, b)], names=["doc", "th", "a", "b"])
+
+    def sort(rows: tuple[np.ndarray, ...], parts: list[bytes]) -> pa.RecordBatch:
+        """Of whole grams: the strings that start earlier in another run, or in the same."""
+        doc, th, a, n = rows
+        order = np.lexsort((a, th, doc))
+        doc, th, a, n = (x[order] for x in rows)
+        text = np.frombuffer(b"".join([parts[i] for i in order.tolist()]), np.uint8)
         base = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
         row = np.repeat(np.arange(len(n)), n)
         starts = base[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
@@ -282,45 +359,67 @@ def _sorted_out(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.Dat
         at = a[own] + found - base[own]
         return intervals(doc[own], th[own], at, at + length)
 
-    held, size, name = [], 0, (0, 0, 0, 0, 0)
+    before = None  # the row before the batch, and the first of its names
+    lead = b""
+    held: list[tuple] = []  # (k, doc, th, a, n, parts) of different runs
+    size = 0
+
+    def ready(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        k, *rows = (np.concatenate([x[i] for x in held]) for i in range(5))
+        parts = [part for x in held for part in x[5]]
+        done = len(k) if last else int(np.searchsorted(k, k[-1]))
+        first = np.flatnonzero(_first_of(np.arange(done), k[:done]))
+        sizes = np.diff(np.concatenate([first, [done]]))
+        start = total = 0
+        chosen: list[np.ndarray] = []
+        for begin, count in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            chosen.append(np.arange(begin, begin + count))
+            total += int(rows[3][begin : begin + count].sum()) + count * (length - 1)
+            if total > SORTED:
+                own = np.concatenate(chosen)
+                yield sort(tuple(x[own] for x in rows), [parts[i] for i in own.tolist()])
+                chosen, total = [], 0
+        if chosen:
+            own = np.concatenate(chosen)
+            yield sort(tuple(x[own] for x in rows), [parts[i] for i in own.tolist()])
+        held, start = [(k[done:], *(x[done:] for x in rows), parts[done:])], done
+        size = sum(map(len, held[0][5]))
+
     for batch in batches:
-        gone = (batch["n"] < 0).to_numpy()
-        named = batch["part"].isna().to_numpy() & ~gone
+        k, c, doc, th, a, n, kind = (batch.column(i).to_numpy() for i in range(7))
+        gone = kind == GONE
         if gone.any():
-            x = batch[gone]
-            yield pd.DataFrame({"doc": x["doc"], "th": x["th"], "a": x["a"], "b": x["a"] - x["n"]}, dtype=np.int64)
-        if named.any():
-            x = batch[named]
-            k, c, doc, th, a = (x[y].to_numpy() for y in ("k", "c", "doc", "th", "a"))
-            # the row before the first is that of the last batch
-            k, c, doc, th, a = (np.concatenate([[before], y]) for before, y in zip(name, (k, c, doc, th, a)))
-            again = ~_first_of(np.arange(len(k)), k, c) & _first_of(np.arange(len(k)), k, c, doc, th, a)
-            name = tuple(int(y[-1]) for y in (k, c, doc, th, a))
-            if again.any():
-                yield intervals(doc[again], th[again], a[again], a[again] + length)
-        plain = batch[~gone & ~named]
-        if len(plain):
-            held.append(plain)
-            size += int((plain["n"] + length - 1).sum())
-        if size > SORTED:
-            pdf = pd.concat(held, ignore_index=True)
-            k = pdf["k"].to_numpy()
-            ready = k != k[-1]  # a gram's runs, HOT at most, are sorted together
-            if ready.any():
-                whole, rest = pdf[ready], pdf[~ready]
-                cut = np.cumsum((whole["n"] + length - 1).to_numpy()) // SORTED
-                ends = whole["k"].to_numpy()
-                last = np.flatnonzero(np.concatenate([(cut[1:] != cut[:-1]), [True]]))
-                start = 0
-                for end in last:  # move the cut to the end of its gram
-                    end = int(np.searchsorted(ends, ends[end], side="right"))
-                    if end > start:
-                        yield grams(whole.iloc[start:end])
-                        start = end
-                held, size = [rest], int((rest["n"] + length - 1).sum())
-    if held:
-        yield grams(pd.concat(held, ignore_index=True))
-    yield empty
+            yield intervals(doc[gone], th[gone], a[gone], c[gone])
+        parts = [x for x in batch.column(7).to_pylist() if x is not None]
+        k, c, doc, th, a, n = (x[~gone] for x in (k, c, doc, th, a, n))
+        if not len(k):
+            continue
+        now = [np.concatenate([[y], x]) if before is not None else x for x, y in zip((k, c, doc, th, a), before or [0] * 5)]
+        skip = before is not None
+        first = _first_of(np.arange(len(now[0])), now[0], now[1])[skip:]
+        twin = ~_first_of(np.arange(len(now[0])), *now)[skip:]
+        stays, again = first.copy(), []
+        for i in range(len(k)) if not first.all() else ():
+            if first[i]:
+                lead = parts[i]
+            elif not twin[i]:
+                if parts[i] == lead:
+                    again.append(i)
+                else:
+                    stays[i] = True
+        if first.all():
+            lead = parts[-1]
+        if again:
+            yield intervals(doc[again], th[again], a[again], a[again] + n[again] + length - 1)
+        own = np.flatnonzero(stays)
+        held.append((k[own], doc[own], th[own], a[own], n[own], [parts[i] for i in own.tolist()]))
+        size += sum(map(len, held[-1][5]))
+        before = [int(x[-1]) for x in (k, c, doc, th, a)]
+        if size > 4 * SORTED and held:
+            yield from ready(False)
+    if held and sum(len(x[0]) for x in held):
+        yield from ready(True)
 
 
 def _result(batches: Iterator[pd.DataFrame], length: int, keep: bool) -> Iterator[pd.DataFrame]:
@@ -355,16 +454,26 @@ def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(documents: doc, th, nul, raw; removed bytes: doc, th, a, b, which may touch and overlap)."""
+    if length - gram >= 1 << 16 or not 0 < gram <= length:
+        raise ValueError("gram must be from 1 to length, and at most 65,535 bytes below it")
+    bound_batches(df.sparkSession)
     docs = _documents(df, key, text)
-    sampled = docs.select("doc", "th", "raw").mapInPandas(lambda x: _sampled(x, length, gram), _ROW)
-    ordered = sampled.repartition("k").sortWithinPartitions("k", "c", "doc", "th", "a")
-    named = written(ordered.mapInPandas(lambda x: _classes(x, length, hot), _ROW))
-    wanted = named.filter("n > 0").groupBy("doc", "th").agg(F.collect_list(F.struct("k", "c", "a", "n")).alias("wanted"))
+    sampled = docs.select("doc", "th", "raw").mapInPandas(lambda x: _sampled(x, length, gram), _DEALT)
+    ordered = sampled.repartition("d").sortWithinPartitions("d", "c", "doc", "th", "an")
+    named = written(ordered.mapInPandas(lambda x: _repeated(x, hot), _NAMED))
+    chosen = named.filter(F.col("kind").isin(RUN, SURE))
+    grams = named.filter(F.col("kind") == TOKEN).select(F.col("k").alias("_k")).distinct()
+    if count := grams.count():
+        grams = F.broadcast(grams) if count <= BROADCAST else grams
+        chosen = chosen.join(grams, F.col("k") == F.col("_k"), "left").withColumn("hot", F.col("_k").isNotNull())
+    else:
+        chosen = chosen.withColumn("hot", F.lit(False))
+    wanted = chosen.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "c", "a", "n", "hot")).alias("wanted"))
     # the same columns as the last join takes, so that both read one exchange of the texts
-    fetched = docs.join(wanted, ["doc", "th"]).select("doc", "th", "nul", "raw", "wanted").mapInPandas(lambda x: _fetched(x, length), _ROW + ", part binary")
+    fetched = docs.join(wanted, ["doc", "th"]).select("doc", "th", "nul", "raw", "wanted").mapInArrow(lambda x: _fetched(x, length), _FETCHED)
     dealt = fetched.repartition("k").sortWithinPartitions("k", "c", "doc", "th", "a")
-    late = dealt.mapInPandas(lambda x: _sorted_out(x, length), "doc long, th long, a long, b long")
-    early = named.filter("n < 0").select("doc", "th", "a", (F.col("a") - F.col("n")).alias("b"))
+    late = dealt.mapInArrow(lambda x: _settled(x, length), "doc long, th long, a long, b long")
+    early = named.filter(F.col("kind") == GONE).select("doc", "th", "a", F.col("c").alias("b"))
     return docs, early.unionByName(late)
 
 
