@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,35 +24,46 @@ def held_out(name: str) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: Rows that cross to a Python worker at once where rows hold whole texts.
-TEXT_ROWS = 1000
+#: Bytes that cross to a Python worker at once where rows hold whole texts.
+TEXT_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows a batch to TEXT_ROWS, if they are more: with texts in them, thousands of rows are tens of
+    """Lowers the session's bytes a batch to TEXT_BYTES, if they are more: with texts in them, the default of 10,000 rows is tens of
     megabytes, several times over in the executor and its workers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    if rows <= 0 or rows > TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", spark.conf.get(name).lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > TEXT_BYTES:
+        spark.conf.set(name, str(TEXT_BYTES))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has `rows` rows at most; a larger one is joined by shuffles. df should be cut off, for it is counted."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the session's, or on one machine a private one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder that all executors share.
 
-    The session's spark.checkpoint.dir is used; a private folder is set only where the session names none, as in tests.
+    The session's spark.checkpoint.dir is used; a private folder is set only where a local session names none, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As checkpointed(), but kept as compressed Parquet in a folder of its own there; for larger tables."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4()}"
+    """As checkpointed(), but kept as compressed Parquet in a folder of its own there, with statistics; for larger tables."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

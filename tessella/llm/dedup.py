@@ -164,10 +164,54 @@ def _merged(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray)
 #: Rows that are dealt: a run whose gram must be met elsewhere, a run whose gram is repeated for sure, a name that only tells
 #: of such a gram, and removed bytes.
 RUN, SURE, TOKEN, GONE = range(4)
-#: d deals a row; an holds a, n and the kind. GONE rows have their end in c.
-_DEALT = "d long, k long, c long, doc long, th long, an long"
-_NAMED = "k long, c long, doc long, th long, a long, n long, kind long"
-_FETCHED = _NAMED + ", part binary"
+#: d deals a row: the name of its gram, with SALT bits changed in rows that needn't meet others. an holds a, these bits, n and the kind.
+#: GONE rows have their end in c, the others half of their run's name.
+_DEALT = "d long, c long, doc long, th long, an long"
+_NAMED = "k long, c long, doc long, th long, an long"
+_FETCHED = "k long, c long, doc long, th long, an long, part binary"
+_REMOVED = "doc long, th long, a long, b long"
+SALT = (1 << 14) - 1
+#: Rows that are judged together.
+ROWS = 1 << 16
+
+
+def _an(a, n, kind, salt=0) -> np.ndarray:
+    return np.asarray(a) << 32 | np.asarray(salt) << 18 | np.asarray(n) << 2 | kind
+
+
+def _parts(an: np.ndarray) -> tuple[np.ndarray, ...]:
+    """a, n, kind."""
+    return an >> 32, an >> 2 & 0xFFFF, an & 3
+
+
+def _batch(kind: str, *columns) -> pa.RecordBatch:
+    """A batch of long columns, the first of which has all rows, and perhaps one of bytes."""
+    fields = [x.split() for x in kind.split(", ")]
+    size = len(columns[0])
+    arrays = [pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(x, np.int64), size))) if t == "long" else pa.nulls(size, pa.binary()) if x is None else pa.array(x, pa.binary()) for (_, t), x in zip(fields, columns)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Batches joined to about `rows` rows, and whether no row follows."""
+    held, size, ready = [], 0, None
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            if ready is not None:
+                yield ready, False
+            ready, held, size = pa.Table.from_batches(held), [], 0
+    if held:
+        if ready is not None:
+            yield ready, False
+        ready = pa.Table.from_batches(held)
+    if ready is not None:
+        yield ready, True
+
+
+def _longs(table: pa.Table) -> list[np.ndarray]:
+    return [x.to_numpy() for x in table.columns if pa.types.is_int64(x.type)]
 
 
 def _folded(k, c, doc, th, a, bytes_of) -> tuple[np.ndarray, np.ndarray]:
@@ -183,43 +227,45 @@ def _folded(k, c, doc, th, a, bytes_of) -> tuple[np.ndarray, np.ndarray]:
     return order[~gone], order[gone]
 
 
-def _dealt(columns) -> pd.DataFrame:
-    d, k, c, doc, th, a, n, kind = np.broadcast_arrays(*columns)
-    return pd.DataFrame({"d": d, "k": k, "c": c, "doc": doc, "th": th, "an": a << 18 | n << 2 | kind}, dtype=np.int64)
+def _gone(kind: str, doc, th, a, end) -> pa.RecordBatch:
+    """Rows of removed bytes; where they are dealt to doesn't matter."""
+    doc, th, a, end = _merged(doc, th, a, end)
+    spread = _stirred((doc ^ a << 40).astype(np.uint64)).view(np.int64)
+    return _batch(kind, spread, end, doc, th, _an(a, 0, GONE), None)
 
 
-def _spread(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
-    return _stirred((doc ^ a << 40).astype(np.uint64)).view(np.int64)
+def _sampled(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """batches: doc, th, raw."""
 
-
-def _sampled(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
-    def flushed(texts: list[bytes], docs: np.ndarray, ths: np.ndarray) -> Iterator[pd.DataFrame]:
+    def flushed(texts: list[bytes], docs: np.ndarray, ths: np.ndarray) -> Iterator[pa.RecordBatch]:
         at, a, n, k, c = runs(texts, length, gram)
-        doc, th = docs[at], ths[at]
+        doc, th, c = docs[at], ths[at], c >> 32
         where, start, end = at.tolist(), a.tolist(), (a + n + length - 1).tolist()
         kept, gone = _folded(k, c, doc, th, a, lambda i: texts[where[i]][start[i] : end[i]])
         if len(gone):
-            x = _merged(doc[gone], th[gone], a[gone], a[gone] + n[gone] + length - 1)
-            yield _dealt((_spread(x[0], x[2]), 0, x[3], x[0], x[1], x[2], 0, GONE))
+            yield _gone(_DEALT, doc[gone], th[gone], a[gone], a[gone] + n[gone] + length - 1)
         if len(kept):
             k, c, doc, th, a, n = (x[kept] for x in (k, c, doc, th, a, n))
             begin = np.flatnonzero(_first_of(np.arange(len(k)), k))
             size = np.diff(np.concatenate([begin, [len(k)]]))
             several = np.repeat(size, size) > 1
             token = several & (np.arange(len(k)) - np.repeat(begin, size) < TOKENS)
-            yield _dealt((np.where(several, _spread(doc, a), k), k, c, doc, th, a, n, np.where(several, SURE, RUN)))
-            yield _dealt((k[token], k[token], c[token], doc[token], th[token], a[token], n[token], TOKEN))
+            salt = np.where(several, _stirred((doc ^ a << 40).astype(np.uint64)).view(np.int64) & SALT, 0)
+            yield _batch(_DEALT, k ^ salt, c, doc, th, _an(a, n, np.where(several, SURE, RUN), salt))
+            if token.any():
+                yield _batch(_DEALT, k[token], c[token], 0, 0, TOKEN)
 
     texts, rows, size = [], [], 0
     for batch in batches:
-        texts += batch["raw"].tolist()
-        rows.append(batch[["doc", "th"]].to_numpy(np.int64))
-        size += batch["raw"].str.len().sum()
+        found = batch.column(2).to_pylist()
+        texts += found
+        rows.append([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        size += sum(map(len, found))
         if size > FOLDED:
-            yield from flushed(texts, *np.concatenate(rows).T)
+            yield from flushed(texts, *map(np.concatenate, zip(*rows)))
             texts, rows, size = [], [], 0
     if texts:
-        yield from flushed(texts, *np.concatenate(rows).T)
+        yield from flushed(texts, *map(np.concatenate, zip(*rows)))
 
 
 class _Grams:
@@ -230,12 +276,14 @@ class _Grams:
         self.hot = hot
         self.k, self.c, self.rows, self.names, self.held = None, None, 0, 0, None
 
-    def batch(self, pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-        kind = pdf["an"].to_numpy() & 3
+    def batch(self, columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        kind = columns[4] & 3
         through = (kind == SURE) | (kind == GONE)
-        yield self._named(pdf[through])
-        pdf, kind = pdf[~through], kind[~through]
-        k, c = pdf["k"].to_numpy(), pdf["c"].to_numpy()
+        if through.any():
+            d, *rest = (x[through] for x in columns)
+            yield _batch(_NAMED, d ^ (rest[3] >> 18 & SALT), *rest)
+            columns, kind = [x[~through] for x in columns], kind[~through]
+        k, c = columns[:2]
         if not len(k):
             return
         begin = np.flatnonzero(_first_of(np.arange(len(k)), k))
@@ -251,49 +299,35 @@ class _Grams:
         rows[0] += self.rows if on else 0
         if self.held is not None:
             if on and rows[0] > 1:
-                yield self._named(self.held)
+                yield _batch(_NAMED, *self.held)
             if not on or rows[0] > 1:
                 self.held = None
         some = (kind == RUN) & np.repeat(rows > 1, size)
-        yield self._named(pdf[some])
+        if some.any():
+            yield _batch(_NAMED, *(x[some] for x in columns))
         # the TOKENS-th least name, as a share of all, tells how many there are
         full = (new == 1) & (names == TOKENS)
-        share = (c[full].astype(float) + 2.0**63 + 1) / 2.0**64
+        share = (c[full] + 2.0**31 + 1) / 2.0**32
         hot = k[full][(TOKENS - 1) / share > self.hot].tolist()
         whole = names[begin + size - 1]
         few = (whole < TOKENS) & (whole > self.hot)
         if not last:
             few[-1] = False
         hot += k[begin[few]].tolist()
-        if hot:
-            yield pd.DataFrame({"k": hot} | dict.fromkeys(("c", "doc", "th", "a", "n"), 0) | {"kind": TOKEN}, dtype=np.int64)
         if not on and self.k is not None and self.hot < self.names < TOKENS:
-            yield pd.DataFrame({"k": [self.k]} | dict.fromkeys(("c", "doc", "th", "a", "n"), 0) | {"kind": TOKEN}, dtype=np.int64)
+            hot.append(self.k)
+        if hot:
+            yield _batch(_NAMED, hot, 0, 0, 0, TOKEN)
         self.k, self.c, self.rows, self.names = int(k[-1]), int(c[-1]), int(rows[-1]), int(whole[-1])
         if not last and rows[-1] == 1:
-            self.held = pdf[-1:]
+            self.held = [x[-1:] for x in columns]
 
-    @staticmethod
-    def _named(pdf: pd.DataFrame) -> pd.DataFrame:
-        an = pdf["an"].to_numpy()
-        return pd.DataFrame({x: pdf[x].to_numpy() for x in ("k", "c", "doc", "th")} | {"a": an >> 18, "n": an >> 2 & 0xFFFF, "kind": an & 3}, dtype=np.int64)
 
-
-def _repeated(batches: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
+def _repeated(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """batches: sorted by d, c, doc, th, an."""
-    grams, held = _Grams(hot), None
-    for batch in batches:
-        if held is not None:
-            yield from grams.batch(held, False)
-        held = batch
-    if held is not None:
-        yield from grams.batch(held, True)
-
-
-def _rows(k, c, doc, th, a, n, kind, part: list | None) -> pa.RecordBatch:
-    size = len(doc)
-    numbers = [pa.array(np.broadcast_to(np.asarray(x, np.int64), size)) for x in (k, c, doc, th, a, n, kind)]
-    return pa.RecordBatch.from_arrays([*numbers, pa.nulls(size, pa.binary()) if part is None else pa.array(part, pa.binary())], names=_FETCHED.replace(" long", "").replace(" binary", "").split(", "))
+    grams = _Grams(hot)
+    for table, last in _gathered(batches, ROWS):
+        yield from grams.batch(_longs(table), last)
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -305,18 +339,18 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         parts = [part for x in held for part in x[6]]
         kept, gone = _folded(k, c, doc, th, a, parts.__getitem__)
         if len(gone):
-            x = _merged(doc[gone], th[gone], a[gone], a[gone] + n[gone] + length - 1)
-            yield _rows(_spread(x[0], x[2]), x[3], x[0], x[1], x[2], 0, GONE, None)
-        for at in range(0, len(kept), 100_000):
-            own = kept[at : at + 100_000]
-            yield _rows(*(x[own] for x in (k, c, doc, th, a, n)), RUN, [parts[i] for i in own.tolist()])
+            yield _gone(_FETCHED, doc[gone], th[gone], a[gone], a[gone] + n[gone] + length - 1)
+        for at in range(0, len(kept), ROWS):
+            own = kept[at : at + ROWS]
+            yield _batch(_FETCHED, k[own], c[own], doc[own], th[own], _an(a[own], n[own], RUN), [parts[i] for i in own.tolist()])
 
     held, size = [], 0
     for batch in batches:
         doc, th, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4)
         own = np.repeat(np.arange(len(doc)), wanted.value_lengths().to_numpy())
         flat = wanted.flatten()
-        k, c, a, n, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        k, c, an, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        a, n, _ = _parts(an)
         texts = batch.column(3).to_pylist()
         cold = np.flatnonzero(~hot)
         found = [texts[i][x:y] for i, x, y in zip(own[cold].tolist(), a[cold].tolist(), (a + n + length - 1)[cold].tolist())]
@@ -327,7 +361,7 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             part = texts[own[i]][a[i] : a[i] + n[i] + length - 1]
             letters = np.frombuffer(part, np.uint8)
             names = [h.of(h.prefix(letters), at, at + length).view(np.int64) for h in (one, two)]
-            held.append((*names, np.full(n[i], doc[own[i]]), np.full(n[i], th[own[i]]), a[i] + at, np.ones(n[i], np.int64), [part[j : j + length] for j in range(n[i])]))
+            held.append((names[0], names[1] >> 32, np.full(n[i], doc[own[i]]), np.full(n[i], th[own[i]]), a[i] + at, np.ones(n[i], np.int64), [part[j : j + length] for j in range(n[i])]))
             size += length * int(n[i])
             if size > FOLDED:
                 yield from flushed(held)
@@ -339,87 +373,84 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield from flushed(held)
 
 
-def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """batches: _FETCHED, sorted by k, c, doc, th, a. Returns removed bytes."""
-
-    def intervals(doc, th, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _merged(doc, th, a, b)], names=["doc", "th", "a", "b"])
-
-    def sort(rows: tuple[np.ndarray, ...], parts: list[bytes]) -> pa.RecordBatch:
-        """Of whole grams: the strings that start earlier in another run, or in the same."""
-        doc, th, a, n = rows
-        order = np.lexsort((a, th, doc))
-        doc, th, a, n = (x[order] for x in rows)
-        text = np.frombuffer(b"".join([parts[i] for i in order.tolist()]), np.uint8)
-        base = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
-        row = np.repeat(np.arange(len(n)), n)
-        starts = base[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-        found = repeats(text, starts, length)
-        own = np.searchsorted(base, found, side="right") - 1
-        at = a[own] + found - base[own]
-        return intervals(doc[own], th[own], at, at + length)
+class _Runs:
+    """Different runs of one task, by gram, until their strings are sorted."""
 
-    before = None  # the row before the batch, and the first of its names
-    lead = b""
-    held: list[tuple] = []  # (k, doc, th, a, n, parts) of different runs
-    size = 0
+    def __init__(self, length: int):
+        self.length, self.held, self.size = length, [], 0
 
-    def ready(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, size
-        k, *rows = (np.concatenate([x[i] for x in held]) for i in range(5))
-        parts = [part for x in held for part in x[5]]
+    def add(self, k, doc, th, a, n, parts: list[bytes]) -> None:
+        self.held.append((k, doc, th, a, n, parts))
+        self.size += sum(map(len, parts))
+
+    def sorted(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """Removed bytes of the grams that are whole: all but the last one, unless it is the last of all."""
+        k, *rows = (np.concatenate([x[i] for x in self.held]) for i in range(5))
+        parts = [part for x in self.held for part in x[5]]
         done = len(k) if last else int(np.searchsorted(k, k[-1]))
         first = np.flatnonzero(_first_of(np.arange(done), k[:done]))
-        sizes = np.diff(np.concatenate([first, [done]]))
-        start = total = 0
-        chosen: list[np.ndarray] = []
-        for begin, count in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            chosen.append(np.arange(begin, begin + count))
-            total += int(rows[3][begin : begin + count].sum()) + count * (length - 1)
-            if total > SORTED:
-                own = np.concatenate(chosen)
-                yield sort(tuple(x[own] for x in rows), [parts[i] for i in own.tolist()])
-                chosen, total = [], 0
+        chosen, size = [], 0
+        for begin, end in zip(first.tolist(), [*first[1:].tolist(), done]):
+            if end - begin > 1:
+                chosen += range(begin, end)
+                size += sum(map(len, parts[begin:end]))
+                if size > SORTED:
+                    yield self._sort(chosen, rows, parts)
+                    chosen, size = [], 0
         if chosen:
-            own = np.concatenate(chosen)
-            yield sort(tuple(x[own] for x in rows), [parts[i] for i in own.tolist()])
-        held, start = [(k[done:], *(x[done:] for x in rows), parts[done:])], done
-        size = sum(map(len, held[0][5]))
+            yield self._sort(chosen, rows, parts)
+        self.held, self.size = [], 0
+        if done < len(k):
+            self.add(k[done:], *(x[done:] for x in rows), parts[done:])
+
+    def _sort(self, chosen: list[int], rows: list[np.ndarray], parts: list[bytes]) -> pa.RecordBatch:
+        """The strings that start earlier in another run, or in the same."""
+        chosen = np.array(chosen)
+        chosen = chosen[np.lexsort([x[chosen] for x in (rows[2], rows[1], rows[0])])]
+        doc, th, a, n = (x[chosen] for x in rows)
+        text = np.frombuffer(b"".join([parts[i] for i in chosen.tolist()]), np.uint8)
+        base = np.concatenate([[0], np.cumsum(n + self.length - 1)[:-1]])
+        row = np.repeat(np.arange(len(n)), n)
+        starts = base[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        found = repeats(text, starts, self.length)
+        own = np.searchsorted(base, found, side="right") - 1
+        at = a[own] + found - base[own]
+        return _batch(_REMOVED, *_merged(doc[own], th[own], at, at + self.length))
 
-    for batch in batches:
-        k, c, doc, th, a, n, kind = (batch.column(i).to_numpy() for i in range(7))
-        gone = kind == GONE
+
+def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """batches: _FETCHED, sorted by k, c, doc, th, an. Returns removed bytes."""
+    lead, before = b"", []  # the first run of the last row's names, and that row
+    different = _Runs(length)
+    for table, last in _gathered(batches, ROWS // 4):
+        columns = _longs(table)
+        gone = columns[4] & 3 == GONE
         if gone.any():
-            yield intervals(doc[gone], th[gone], a[gone], c[gone])
-        parts = [x for x in batch.column(7).to_pylist() if x is not None]
-        k, c, doc, th, a, n = (x[~gone] for x in (k, c, doc, th, a, n))
-        if not len(k):
-            continue
-        now = [np.concatenate([[y], x]) if before is not None else x for x, y in zip((k, c, doc, th, a), before or [0] * 5)]
-        skip = before is not None
-        first = _first_of(np.arange(len(now[0])), now[0], now[1])[skip:]
-        twin = ~_first_of(np.arange(len(now[0])), *now)[skip:]
-        stays, again = first.copy(), []
-        for i in range(len(k)) if not first.all() else ():
-            if first[i]:
-                lead = parts[i]
-            elif not twin[i]:
-                if parts[i] == lead:
-                    again.append(i)
-                else:
-                    stays[i] = True
-        if first.all():
-            lead = parts[-1]
-        if again:
-            yield intervals(doc[again], th[again], a[again], a[again] + n[again] + length - 1)
-        own = np.flatnonzero(stays)
-        held.append((k[own], doc[own], th[own], a[own], n[own], [parts[i] for i in own.tolist()]))
-        size += sum(map(len, held[-1][5]))
-        before = [int(x[-1]) for x in (k, c, doc, th, a)]
-        if size > 4 * SORTED and held:
-            yield from ready(False)
-    if held and sum(len(x[0]) for x in held):
-        yield from ready(True)
+            _, end, doc, th, an = (x[gone] for x in columns)
+            yield _batch(_REMOVED, *_merged(doc, th, an >> 32, end))
+        columns = [x[~gone] for x in columns]
+        parts = table.column(5).filter(pa.array(~gone)).to_pylist()
+        if len(parts):
+            k, c, doc, th, an = columns
+            a, n, _ = _parts(an)
+            after = [np.concatenate([[y], x]) for x, y in zip(columns, before)] if before else columns
+            every = np.arange(len(after[0]))
+            first, other = _first_of(every, *after[:2])[len(every) - len(k) :], _first_of(every, *after)[len(every) - len(k) :]
+            stays, again = first.copy(), []
+            for i in np.flatnonzero(~first | np.append(~first[1:], True)).tolist():  # rows of names that several rows have, and the last
+                if first[i]:
+                    lead = parts[i]
+                elif other[i]:  # a row that repeats id and text has the same runs and is dropped
+                    stays[i] = parts[i] != lead
+                    if not stays[i]:
+                        again.append(i)
+            if again:
+                yield _batch(_REMOVED, *_merged(doc[again], th[again], a[again], a[again] + n[again] + length - 1))
+            own = np.flatnonzero(stays)
+            different.add(k[own], doc[own], th[own], a[own], n[own], [parts[i] for i in own.tolist()])
+            before = [int(x[-1]) for x in columns]
+        if different.held and (last or different.size > 4 * SORTED):
+            yield from different.sorted(last)
 
 
 def _result(batches: Iterator[pd.DataFrame], length: int, keep: bool) -> Iterator[pd.DataFrame]:
@@ -458,22 +489,23 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
         raise ValueError("gram must be from 1 to length, and at most 65,535 bytes below it")
     bound_batches(df.sparkSession)
     docs = _documents(df, key, text)
-    sampled = docs.select("doc", "th", "raw").mapInPandas(lambda x: _sampled(x, length, gram), _DEALT)
+    sampled = docs.select("doc", "th", "raw").mapInArrow(lambda x: _sampled(x, length, gram), _DEALT)
     ordered = sampled.repartition("d").sortWithinPartitions("d", "c", "doc", "th", "an")
-    named = written(ordered.mapInPandas(lambda x: _repeated(x, hot), _NAMED))
-    chosen = named.filter(F.col("kind").isin(RUN, SURE))
-    grams = named.filter(F.col("kind") == TOKEN).select(F.col("k").alias("_k")).distinct()
+    named = written(ordered.mapInArrow(lambda x: _repeated(x, hot), _NAMED))
+    kind = F.col("an").bitwiseAND(3)
+    chosen = named.filter(kind.isin(RUN, SURE))
+    grams = named.filter(kind == TOKEN).select(F.col("k").alias("_k")).distinct()
     if count := grams.count():
         grams = F.broadcast(grams) if count <= BROADCAST else grams
         chosen = chosen.join(grams, F.col("k") == F.col("_k"), "left").withColumn("hot", F.col("_k").isNotNull())
     else:
         chosen = chosen.withColumn("hot", F.lit(False))
-    wanted = chosen.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "c", "a", "n", "hot")).alias("wanted"))
+    wanted = chosen.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "c", "an", "hot")).alias("wanted"))
     # the same columns as the last join takes, so that both read one exchange of the texts
     fetched = docs.join(wanted, ["doc", "th"]).select("doc", "th", "nul", "raw", "wanted").mapInArrow(lambda x: _fetched(x, length), _FETCHED)
-    dealt = fetched.repartition("k").sortWithinPartitions("k", "c", "doc", "th", "a")
-    late = dealt.mapInArrow(lambda x: _settled(x, length), "doc long, th long, a long, b long")
-    early = named.filter(F.col("kind") == GONE).select("doc", "th", "a", F.col("c").alias("b"))
+    dealt = fetched.repartition("k").sortWithinPartitions("k", "c", "doc", "th", "an")
+    late = dealt.mapInArrow(lambda x: _settled(x, length), _REMOVED)
+    early = named.filter(kind == GONE).select("doc", "th", F.shiftright("an", 32).alias("a"), F.col("c").alias("b"))
     return docs, early.unionByName(late)
 
 

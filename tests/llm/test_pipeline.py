@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -73,12 +74,20 @@ def test_every_operator_is_registered():
 
 
 def test_batches_are_lowered_and_never_raised(spark):
-    from tessella.llm.common import TEXT_ROWS, bound_batches
+    from tessella.llm.common import TEXT_BYTES, bound_batches
 
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    for rows, want in (("10000", TEXT_ROWS), ("0", TEXT_ROWS), ("7", 7)):
-        spark.conf.set(name, rows)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for size, want in ((str(1 << 30), TEXT_BYTES), ("64m", TEXT_BYTES), ("1000", 1000)):
+        spark.conf.set(name, size)
         bound_batches(spark)
         assert int(spark.conf.get(name)) == want
-    spark.conf.set(name, before)
+    spark.conf.unset(name)
+    bound_batches(spark)
+    assert int(spark.conf.get(name)) == TEXT_BYTES
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = spark.range(0, 200, 1, 1).selectExpr("id", "repeat('x', 50000) AS t").mapInArrow(counted, "n long").collect()
+    assert sum(r["n"] for r in rows) == 200 and max(r["n"] for r in rows) * 50_000 <= TEXT_BYTES
