@@ -279,12 +279,12 @@ def vectors(spark):
     return x, spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
 
 
-@pytest.mark.parametrize("shard, block", [(8192, 8192), (100, 5)])
-def test_nearest(spark, shard, block):
+@pytest.mark.parametrize("shard, sample", [(16384, 4096), (100, 4096), (40, 300), (9, 100)])
+def test_nearest(spark, monkeypatch, shard, sample):
+    monkeypatch.setattr(ann, "SAMPLE", sample)
     x, df = vectors(spark)
-    rows = ann.usable(df, "vec_id", "embedding")
     got = {}
-    for r in ann.search(rows, rows.filter("id % 50 = 0"), 5, shard=shard, block=block).collect():
+    for r in ann.self_search(df, 50, 5, shard=shard).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     y = x.astype(float)
     cos = np.clip(y @ y.T / np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(y, axis=1)), -1, 1)
@@ -300,5 +300,42 @@ def test_nearest_relaxed_and_empty(spark):
     exact, _ = tree.search(x[::50].astype(float), np.arange(0, 700, 50), 5)
     loose, names = tree.search(x[::50].astype(float), np.arange(0, 700, 50), 5, factor=4.0)
     assert (loose <= exact + 1e-12).all() and (loose > -2).all()
+    wanted = [set(names_.tolist()) for names_ in tree.search(x[::50].astype(float), np.arange(0, 700, 50), 5)[1]]
+    found = [set(names_.tolist()) for names_ in tree.search(x[::50].astype(float), np.arange(0, 700, 50), 5, factor=1.5)[1]]
+    assert sum(len(a & b) for a, b in zip(wanted, found)) >= 0.9 * 5 * len(wanted)
     assert ann.self_search(df.limit(0)).count() == 0
     assert [tuple(r) for r in ann.self_search(spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0, 2.0])], "vec_id long, embedding array<float>")).collect()] == [(0, 1, 1, pytest.approx(1.0))]
+
+
+def test_regions_bound_distances():
+    """No member of a region is nearer than its bound, and every vector has a home."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8))
+    x = centres[rng.integers(0, 12, 3000)] + 0.2 * rng.normal(size=(3000, 8))
+    tree = ann.regions(x[:400], 10)
+    home, asked = tree.home(x), rng.normal(size=(50, 8))
+    bounds, away = tree.bounds(asked), ann.distances(ann.units(asked), ann.units(x))
+    assert tree.count >= 8 and set(home.tolist()) == set(range(tree.count))
+    for r in range(tree.count):
+        assert (away[:, home == r].min(axis=1) >= bounds[:, r] - 1e-9).all()
+    assert (bounds > 0.2).any()
+    assert ann.regions(np.ones((100, 3)), 8).count == 1  # alike vectors can't be parted
+
+
+def test_nearest_of_repeated_ids_and_extreme_sizes(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [5.0, 5.0]), (4, [1.7e308, -1.7e308]), (5, [5e-324, 0.0])]
+    want = [(0, 1, 1, 0.5**0.5), (0, 2, 3, 0.5**0.5), (0, 3, 2, 0.0), (0, 4, 5, 0.0), (0, 5, 4, -(0.5**0.5))]
+    for chosen in (rows, rows[::-1]):
+        df = spark.createDataFrame(chosen, "vec_id long, embedding array<double>").repartition(3)
+        found = sorted(tuple(r) for r in ann.self_search(df).collect())
+        # of the rows with id 0 the least vector counts
+        assert [(q, k, v, pytest.approx(s)) for q, k, v, s in want] == found
+
+
+def test_recall_of_relaxed_search(spark):
+    """Of the table's own vectors: exact at factor 1, and 0.9 or more at the factor that the README gives."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    exact = {(r["query_id"], r["vec_id"]) for r in ann.self_search(table, shard=100).collect()}
+    whole = {(r["query_id"], r["vec_id"]) for r in ann.self_search(table).collect()}
+    loose = {(r["query_id"], r["vec_id"]) for r in ann.self_search(table, factor=1.2, shard=100).collect()}
+    assert exact == whole and len(exact & loose) >= 0.9 * len(exact)
