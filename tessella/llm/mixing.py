@@ -6,13 +6,15 @@
 2. Targets become integer quotas of equal blocks by Sainte-Lague: the highest quotients target / (2k + 1) win a block
    each. A source's count lies within its exact share plus or minus (sources * share / 2 + 1.5), so only quotients in that
    band are ranked: about four rows a source, however many blocks there are.
-3. A source is cut into shards by a seeded hash of the key; its quota goes to its shards in the same way. Shards keep hot
-   sources in many tasks; a source has at most SHARDS of them, so the ranking by source stays small.
+3. A source is cut into shards by a seeded hash of key and text, one for about SHARD_WORDS words, and shards into groups of about
+   GROUP; its quota goes to its groups, and a group's to its shards, in the same way. So hot sources are in many tasks, and no ranking below
+   sources has more than some GROUP rows.
 4. A shard takes its quota in seeded order of its documents: whole passes first, then documents up to a border, where one is
-   taken in part. So a shard's selection is a border hash and a number of words, and texts need not be shuffled.
+   taken in part. So a shard's selection is a border hash and a number of words. Tables of sources and of borders up to BROADCAST
+   rows are broadcast, and texts are not shuffled; where borders are more, texts are shuffled once, by source and shard.
 
-Null texts have size 0 and take nothing. A null source is a source. Rows with one key have one place in the order and share
-what is taken at the border. Empty tables give empty results.
+Sources are ranked in one task, a row each. Null texts have size 0 and take nothing. A null source is a source. Rows that repeat key and text have one place in the order and share
+what is taken at the border. Empty tables give empty results. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed
+from tessella.llm.common import checkpointed, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -29,15 +31,17 @@ SHARE = 1.5
 MOST = 2
 #: Words in a block.
 BLOCK = 16
-#: Words and documents of a shard, until a source has SHARDS shards, which then grow with it.
+#: Words and documents of a shard, and shards of a group.
 SHARD_WORDS = 250_000
-SHARDS = 4096
+GROUP = 4096
+#: Rows of a broadcast table, of some 100 bytes each.
+BROADCAST = 200_000
 SEED = "mix-1"
 
 
-def order_hash(key: str, seed: str = SEED) -> Column:
+def order_hash(key: str, text: str, seed: str = SEED) -> Column:
     """Hexadecimal; by it documents are dealt to shards (first 8 digits) and ordered within."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
 def sizes(df: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
@@ -45,7 +49,7 @@ def sizes(df: DataFrame, key: str, text: str, source: str, seed: str) -> DataFra
         F.col(key).alias("doc"),
         F.col(source).alias("src"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        order_hash(key, seed).alias("h"),
+        order_hash(key, text, seed).alias("h"),
     )
 
 
@@ -96,11 +100,12 @@ def apportion(df: DataFrame, group: list[str], weight: str, seats: str, order: l
 
 
 def quotas(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK) -> DataFrame:
-    """src, source_size, target, blocks, n_shards: a row for each source."""
+    """src, source_size, target, blocks, n_shards, n_groups: a row for each source."""
     seats = F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block).cast("long")
-    shards = F.least(F.lit(SHARDS), F.ceil((F.col("source_size") + F.col("n_docs")) / SHARD_WORDS)).cast("long")
+    shards = F.ceil((F.col("source_size") + F.col("n_docs")) / SHARD_WORDS).cast("long")
+    groups = F.ceil(F.col("n_shards") / GROUP).cast("long")
     by_source = targets(sized, weights, share, most).withColumn("seats", seats)
-    return apportion(by_source, [], "target", "seats", [F.col("src").asc_nulls_last()], "blocks").select("src", "source_size", "target", "blocks", shards.alias("n_shards"))
+    return apportion(by_source, [], "target", "seats", [F.col("src").asc_nulls_last()], "blocks").select("src", "source_size", "target", "blocks", shards.alias("n_shards")).withColumn("n_groups", groups)
 
 
 def shard_of() -> Column:
@@ -110,12 +115,18 @@ def shard_of() -> Column:
 def selection(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, block: int = BLOCK, most: int = MOST, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """doc, src, size, source_size, target, taken, shard, h, whole (passes), border (words of a document at the border; null elsewhere)."""
     sized = checkpointed(sizes(df, key, text, source, seed))
-    by_source = checkpointed(quotas(sized, weights, share, most, block))
-    dealt = sized.join(by_source, sized.src.eqNullSafe(by_source.src)).select(sized["*"], "source_size", "target", "blocks", "n_shards").withColumn("shard", shard_of())
-    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    shards = apportion(shards, ["src"], "shard_size", "blocks", [F.col("shard").asc()], "won").select(
+    by_source = small(checkpointed(quotas(sized, weights, share, most, block)), BROADCAST)
+    dealt = sized.join(by_source, sized.src.eqNullSafe(by_source.src)).select(sized["*"], "source_size", "target", "blocks", "n_shards", "n_groups").withColumn("shard", shard_of())
+    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first(F.col("shard") % F.col("n_groups")).alias("grp"))
+    shards = checkpointed(shards)
+    groups = shards.groupBy("src", "grp").agg(F.sum("shard_size").alias("group_size"), F.first("blocks").alias("blocks"))
+    groups = checkpointed(apportion(groups, ["src"], "group_size", "blocks", [F.col("grp").asc()], "group_blocks"))
+    within = small(groups.select(F.col("src").alias("_src"), F.col("grp").alias("_grp"), "group_blocks"), BROADCAST)
+    shards = shards.join(within, shards.src.eqNullSafe(within._src) & (shards.grp == within._grp)).select("src", "grp", "shard", "shard_size", "group_blocks")
+    shards = apportion(shards, ["src", "grp"], "shard_size", "group_blocks", [F.col("shard").asc()], "won").select(
         F.col("src").alias("_src"), F.col("shard").alias("_shard"), "shard_size", F.least(F.col("won") * block, F.col("shard_size") * most).alias("quota")
     )
+    shards = small(checkpointed(shards), BROADCAST)
     in_order = W.partitionBy("src", "shard").orderBy("h")
     same = W.partitionBy("src", "shard", "h")
     left = F.col("quota") - F.col("whole") * F.col("shard_size") - F.col("before")
@@ -134,7 +145,7 @@ def selection(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
     """The rows of the mix, with the columns of df: a document that is taken twice comes twice, one that is taken in part
-    comes with its first words. Selection travels as a row for each shard, so texts are not shuffled."""
+    comes with its first words. Selection travels as a row for each shard."""
     chosen = selection(df, key, text, source, seed, **how)
     shards = checkpointed(
         chosen.groupBy("src", "shard", "n_shards").agg(
@@ -143,9 +154,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
             F.max("border").alias("border"),
         )
     )
-    counts = shards.groupBy(F.col("src").alias("_s")).agg(F.first("n_shards").alias("n_shards"))
-    borders = shards.select(F.col("src").alias("_src"), F.col("shard").alias("_shard"), "whole", "last", "border")
-    rows = df.select(F.struct("*").alias("row"), F.col(text).alias("body"), F.col(source).alias("src"), order_hash(key, seed).alias("h"))
+    counts = small(checkpointed(shards.groupBy(F.col("src").alias("_s")).agg(F.first("n_shards").alias("n_shards"))), BROADCAST)
+    borders = small(shards.select(F.col("src").alias("_src"), F.col("shard").alias("_shard"), "whole", "last", "border"), BROADCAST)
+    rows = df.select(F.struct("*").alias("row"), F.col(text).alias("body"), F.col(source).alias("src"), order_hash(key, text, seed).alias("h"))
     dealt = rows.join(counts, F.col("src").eqNullSafe(F.col("_s"))).withColumn("shard", shard_of())
     joined = dealt.join(borders, F.col("src").eqNullSafe(F.col("_src")) & (F.col("shard") == F.col("_shard")))
     part = (F.col("h") == F.col("last")) & F.col("border").isNotNull()

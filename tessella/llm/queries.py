@@ -57,7 +57,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY source
@@ -89,26 +89,46 @@ WITH sized AS (
   FROM based b LEFT JOIN won w ON b.source IS NOT DISTINCT FROM w.source AND w.place <= w.open
   GROUP BY b.source, b.base
 ), dealt AS (
-  SELECT s.*, a.source_size, a.target, b.blocks,
-         ('0x' || substr(s.h, 1, 8))::BIGINT % least(4096, ceil((a.source_size + a.n_docs) / 250000.0))::BIGINT AS shard
+  SELECT s.*, a.source_size, a.target, b.blocks, ceil((a.source_size + a.n_docs) / 250000.0)::BIGINT AS n_shards,
+         ('0x' || substr(s.h, 1, 8))::BIGINT % ceil((a.source_size + a.n_docs) / 250000.0)::BIGINT AS shard
   FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source JOIN blocks b ON s.source IS NOT DISTINCT FROM b.source
 ), shards AS (
-  SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(blocks) AS blocks FROM dealt GROUP BY source, shard
+  SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(blocks) AS blocks, any_value(shard % ceil(n_shards / 4096.0)::BIGINT) AS grp FROM dealt GROUP BY source, shard
+), groups AS (
+  SELECT source, grp, sum(shard_size)::BIGINT AS group_size, any_value(blocks) AS blocks FROM shards GROUP BY source, grp
+), group_exact AS (
+  SELECT *, CASE WHEN sum(group_size) OVER (PARTITION BY source) > 0
+                 THEN blocks * group_size::DOUBLE / sum(group_size) OVER (PARTITION BY source) ELSE 0 END AS share FROM groups
+), group_base AS (
+  SELECT *, greatest(0, floor(share - 2100))::BIGINT AS base FROM group_exact
+), group_q AS (
+  SELECT source, grp, group_size::DOUBLE / (2 * k + 1) AS q, k
+  FROM (SELECT *, unnest(range(base, ceil(share + 2100)::BIGINT)) AS k FROM group_base)
+), group_won AS (
+  SELECT source, grp, row_number() OVER (PARTITION BY source ORDER BY q DESC, grp, k) AS place FROM group_q WHERE q > 0
+), group_open AS (
+  SELECT source, any_value(blocks) - sum(base) AS open FROM group_base GROUP BY source
+), group_blocks AS (
+  SELECT b.source, b.grp, b.base + count(w.place) AS group_blocks
+  FROM group_base b JOIN group_open o ON b.source IS NOT DISTINCT FROM o.source
+  LEFT JOIN group_won w ON b.source IS NOT DISTINCT FROM w.source AND b.grp = w.grp AND w.place <= o.open
+  GROUP BY b.source, b.grp, b.base
 ), exact AS (
-  SELECT *, CASE WHEN sum(shard_size) OVER (PARTITION BY source) > 0
-                 THEN blocks * shard_size::DOUBLE / sum(shard_size) OVER (PARTITION BY source) ELSE 0 END AS share FROM shards
+  SELECT s.*, g.group_blocks, CASE WHEN sum(shard_size) OVER (PARTITION BY s.source, s.grp) > 0
+                 THEN group_blocks * shard_size::DOUBLE / sum(shard_size) OVER (PARTITION BY s.source, s.grp) ELSE 0 END AS share
+  FROM shards s JOIN group_blocks g ON s.source IS NOT DISTINCT FROM g.source AND s.grp = g.grp
 ), shard_base AS (
   SELECT *, greatest(0, floor(share - 2100))::BIGINT AS base FROM exact
 ), shard_q AS (
-  SELECT source, shard, shard_size::DOUBLE / (2 * k + 1) AS q, k
+  SELECT source, grp, shard, shard_size::DOUBLE / (2 * k + 1) AS q, k
   FROM (SELECT *, unnest(range(base, ceil(share + 2100)::BIGINT)) AS k FROM shard_base)
 ), shard_won AS (
-  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) AS place FROM shard_q WHERE q > 0
+  SELECT source, shard, row_number() OVER (PARTITION BY source, grp ORDER BY q DESC, shard, k) AS place FROM shard_q WHERE q > 0
 ), shard_open AS (
-  SELECT source, any_value(blocks) - sum(base) AS open FROM shard_base GROUP BY source
+  SELECT source, grp, any_value(group_blocks) - sum(base) AS open FROM shard_base GROUP BY source, grp
 ), shard_quota AS (
   SELECT b.source, b.shard, b.shard_size, least((b.base + count(w.place)) * 16, 2 * b.shard_size) AS quota
-  FROM shard_base b JOIN shard_open o ON b.source IS NOT DISTINCT FROM o.source
+  FROM shard_base b JOIN shard_open o ON b.source IS NOT DISTINCT FROM o.source AND b.grp = o.grp
   LEFT JOIN shard_won w ON b.source IS NOT DISTINCT FROM w.source AND b.shard = w.shard AND w.place <= o.open
   GROUP BY b.source, b.shard, b.shard_size, b.base
 ), placed AS (

@@ -3,12 +3,13 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, dedup, mixing, simhash
+from tessella.llm import ann, dedup, mixing, queries, simhash
 from tessella.llm.suffixes import repeats, suffix_array
 
 
@@ -248,6 +249,19 @@ def test_mix_contract(spark):
         assert abs(sum(r["taken"] for r in by[s]) - target[s]) <= 2 * mixing.BLOCK + 4
 
 
+def test_mix_does_not_shuffle_texts(spark, tmp_path):
+    mixed_docs(spark).write.parquet(str(tmp_path / "docs"))
+    plan = mixing.mix(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_mix_of_one_key(spark):
+    """A third of all rows without a key spread over the shards, by their texts."""
+    rows = [(None, f"w{k} " * (k % 50 + 1), "a") for k in range(300)] + [(k, f"v{k} " * 20, "a") for k in range(600)]
+    found = mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", "s").filter("doc is null")
+    assert found.select("h").distinct().count() == 300
+
+
 def test_mix_rows(spark):
     df = mixed_docs(spark).filter("doc_id is not null and doc_id <> 7")
     taken = {r["doc"]: r["taken"] for r in mixing.selection(df).collect()}
@@ -260,9 +274,20 @@ def test_mix_rows(spark):
     assert mixing.selection(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
-def test_mix_shards(spark, monkeypatch):
+@pytest.mark.parametrize("group, rows", [(4096, 200_000), (4, 200_000), (4, 0)])
+def test_mix_shards(spark, monkeypatch, group, rows):
+    """Many shards, in one group or in several; nothing is broadcast where tables have more than 0 rows."""
     monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    monkeypatch.setattr(mixing, "GROUP", group)
+    monkeypatch.setattr(mixing, "BROADCAST", rows)
     df = mixed_docs(spark)
+    taken = {}
+    for r in mixing.selection(df).collect():
+        taken[r["doc"]] = taken.get(r["doc"], 0) + r["taken"]
+    got = dict.fromkeys(taken, 0)
+    for r in mixing.mix(df).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+    assert got == taken
     rows = mixing.selection(df).collect()
     assert len({(r["src"], r["shard"]) for r in rows}) > 30 and all(r["taken"] <= 2 * r["size"] for r in rows)
     taken = sum(r["taken"] for r in rows)
@@ -339,3 +364,12 @@ def test_recall_of_relaxed_search(spark):
     whole = {(r["query_id"], r["vec_id"]) for r in ann.self_search(table).collect()}
     loose = {(r["query_id"], r["vec_id"]) for r in ann.self_search(table, factor=1.2, shard=100).collect()}
     assert exact == whole and len(exact & loose) >= 0.9 * len(exact)
+
+
+def test_mix_equals_sql_with_many_shards_and_groups(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    mine = {tuple(r) for r in queries.op5_source_mixing(spark, "/root/testdata/sf0.001").collect()}
+    sql = queries.OP5_SQL.replace("250000.0", "5000.0").replace("4096.0", "3.0").replace("FROM documents", "FROM '/root/testdata/sf0.001/documents.parquet'")
+    theirs = set(duckdb.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({sql})").fetchall())
+    assert len(mine) > 100 and {r[:3] + r[4:] for r in mine} == {r[:3] + r[4:] for r in theirs}
