@@ -227,7 +227,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACTO
             for d, part in _by_length(batch):
                 yield part.assign(d=d, r=trees.get(d, whole).home(_matrix(part["v"])))
 
-    placed = vectors.mapInPandas(homes, "id long, v array<double>, d int, r int")
+    placed = checkpointed(vectors.mapInPandas(homes, "id long, v array<double>, d int, r int"))
     sizes = placed.groupBy("d", "r").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     sizes = small(checkpointed(sizes), 100_000)  # a row for each length and region
     stored = placed.join(sizes, ["d", "r"]).select("d", "r", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("s"), F.lit(0).alias("asks"), "id", "v", F.lit(2.0).alias("reach"))
@@ -287,5 +287,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACTO
 
 def self_search(df: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
     """The k nearest of every row whose id is divisible by `every`, among all other rows."""
-    vectors = checkpointed(one_of_each(usable(df, key, vector)))
+    vectors = one_of_each(usable(df, key, vector))
     return search(vectors, vectors.filter(F.col("id") % every == 0), k, factor, shard)

@@ -63,7 +63,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As checkpointed(), but kept as compressed Parquet in a folder of its own there, with statistics; for larger tables."""
+    """As checkpointed(), but kept as compressed Parquet in a folder of its own there, with statistics; for larger tables. Who
+    runs the job empties the checkpoint folder after it, or calls discarded()."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes what written() made, if df is such a table."""
+    spark = df.sparkSession
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if re.search(r"/table-[0-9a-f-]{36}$", folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -219,7 +219,8 @@ class Labeller:
 
 
 def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
-    """Struct of lang_pred, score and known, of a column of bytes."""
+    """Struct of lang_pred, score and known, of a column of bytes. It is marked as not deterministic, which it is, so that a filter on it
+    doesn't have it evaluated a second time."""
     shared = spark.sparkContext.broadcast(model)  # bounded by TRIGRAMS rows
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -227,4 +228,4 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
         for batch in batches:
             yield pd.DataFrame(labeller.predict(list(batch)), columns=["lang_pred", "score", "known"])
 
-    return F.pandas_udf(run, "struct<lang_pred: string, score: double, known: double>")(text)
+    return F.pandas_udf(run, "struct<lang_pred: string, score: double, known: double>").asNondeterministic()(text)

@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, utf8
+from tessella.llm.common import checkpointed, small, utf8
 
 SEED = 42
 WORDS = 3
 RADIUS = 3
 #: Fingerprints in a block of one key.
 BLOCK = 2048
+#: Rows of two hashes up to which a table is broadcast.
+BROADCAST = 200_000
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> bytes:
@@ -79,36 +81,46 @@ def planes(prints: np.ndarray) -> np.ndarray:
 def near(query: int, stored: np.ndarray, order: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Words whose set bits are the fingerprints at most `radius` from the query.
 
-    Counters of three bits hold up to 7 differences; `over` keeps those that went beyond the radius. Planes are taken in
-    `order`, those that vary first, and words in which all are over are left out of later planes.
+    Each lane has a carry-save counter of as many bits as hold the radius; `over` keeps the lanes in which it has run over. Planes are
+    taken in `order`, those that vary first, and words in which all lanes have run over are left out of later planes.
     """
     n = stored.shape[1]
     live = np.arange(n)
-    one = np.zeros(n, np.uint64)
-    two, over = one.copy(), one.copy()
+    counter = [np.zeros(n, np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros(n, np.uint64)
     result = np.zeros(n, np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    most = (1 << len(counter)) - 1
     for step, bit in enumerate(order):
         plane = stored[bit] if live.size == n else stored[bit, live]
-        differs = ~plane if query >> int(bit) & 1 else plane
-        carry = one & differs
-        one = one ^ differs
-        over = over | (two & carry)
-        two = two ^ carry
+        carry = ~plane if query >> int(bit) & 1 else plane
+        for k, digit in enumerate(counter):
+            counter[k], carry = digit ^ carry, digit & carry
+        over |= carry
         if step >= radius and step % 8 == 7:
-            keep = over != full
+            gone = over if most == radius else over | _above(counter, radius)
+            keep = gone != full
             if not keep.any():
                 return result
             if not keep.all():
-                live, one, two, over = live[keep], one[keep], two[keep], over[keep]
-    # a two-bit counter holds 0 to 3; `over` is set as it passes 3
-    within = ~over
-    for least in range(radius + 1, 4):
-        within &= ~((one if least & 1 else ~one) & (two if least & 2 else ~two))
-    result[live] = within
+                live, over = live[keep], over[keep]
+                counter = [digit[keep] for digit in counter]
+    result[live] = ~(over | _above(counter, radius))
     return result
 
 
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes in which the counter is above the radius: from the highest digit, it first differs by a one against a zero."""
+    above, level = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for k in reversed(range(len(counter))):
+        if radius >> k & 1:
+            level &= counter[k]
+        else:
+            above |= level & counter[k]
+            level &= ~counter[k]
+    return above
+
+
 class _Union:
     """Union-find that reports the links that joined something."""
 
@@ -265,18 +277,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return _rooted(docs, radius, block).select(F.col("doc").alias(key), "fp", "component_id")
 
 
+def _identified(df: DataFrame) -> DataFrame:
+    """Adds _h1 and _h2, 128 bits that stand for a row. Nulls are left out of Spark's hashes, so which columns are null is hashed too."""
+    whole = [*df.columns, *[F.col(c).isNull() for c in df.columns]]
+    return df.withColumns({"_h1": F.xxhash64(*whole), "_h2": F.xxhash64(F.lit(1), *whole)})
+
+
+def _one_of_each_root(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows: root, least (whether the row has the least key of the root), _h1, _h2, of every row of df. Of the rows with the least key of a root,
+    that of least hash stays; of rows alike in all columns one. Rows to be dropped are broadcast if they are few; if not, texts are shuffled once."""
+    chosen = rows.filter("least").groupBy("root").agg(F.min(F.struct("_h1", "_h2")).alias("_k")).select("_k.*")
+    counts = checkpointed(rows.groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).join(chosen.withColumn("_kept", F.lit(True)), ["_h1", "_h2"], "left"))
+    kept, dropped = counts.filter("_kept"), counts.filter("_kept is null").select("_h1", "_h2")
+    packed = _identified(df).select(F.struct(*df.columns).alias("_row"), "_h1", "_h2")
+    if dropped.count() <= BROADCAST:
+        found = packed.join(F.broadcast(dropped), ["_h1", "_h2"], "left_anti")
+    else:
+        found = packed.join(kept.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
+    twins = kept.filter("_n > 1").select("_h1", "_h2")
+    if not twins.isEmpty():  # of rows alike in all columns
+        again = found.join(small(twins, BROADCAST), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
+        found = found.join(small(twins, BROADCAST), ["_h1", "_h2"], "left_anti").unionByName(again)
+    return found.select("_row.*")
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of df for each component: of the rows with its least key, that of least row hash. A row without a key stays
     only if its component holds no key. Components are told apart by what links them, not by their id: two texts of one key
-    (or of none) that no links join both stay."""
-    # nulls are left out of Spark's hashes, so which columns are null is hashed too
-    whole = [*df.columns, *[F.col(c).isNull() for c in df.columns]]
-    hashed = df.withColumns({"_h1": F.xxhash64(*whole), "_h2": F.xxhash64(F.lit(1), *whole)})
-    docs = checkpointed(hashed.select(F.col(key).alias("doc"), "_h1", "_h2", fingerprints(utf8(text)).alias("fp")))
-    rows = _rooted(docs, radius, BLOCK).filter(F.col("doc").eqNullSafe(F.col("component_id")))
-    counts = rows.groupBy("root", "_h1", "_h2").agg(F.count("*").alias("_n"))
-    kept = checkpointed(counts.groupBy("root").agg(F.min(F.struct("_h1", "_h2", "_n")).alias("_k")).select("_k.*"))
-    packed = hashed.select(F.struct(*df.columns).alias("_row"), "_h1", "_h2")
-    once = packed.join(kept.filter("_n = 1"), ["_h1", "_h2"], "left_semi")
-    again = packed.join(kept.filter("_n > 1"), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
-    return once.unionByName(again).select("_row.*")
+    (or of none) that no links join both stay. Rows alike in all columns are one."""
+    docs = checkpointed(_identified(df).select(F.col(key).alias("doc"), "_h1", "_h2", fingerprints(utf8(text)).alias("fp")))
+    return _one_of_each_root(df, _rooted(docs, radius, BLOCK).withColumn("least", F.col("doc").eqNullSafe(F.col("component_id"))))

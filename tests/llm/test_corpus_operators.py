@@ -140,14 +140,14 @@ def test_bit_sliced_distances():
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     base[100:200] = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
     stored = simhash.planes(base)
-    for radius in (0, 1, 2, 3):
+    for radius in (0, 1, 2, 3, 4, 5, 7, 8, 12, 16, 31, 64):
         for q in (0, 5, 150):
             hits = np.unpackbits(simhash.near(int(base[q]), stored, rng.permutation(64), radius).view(np.uint8), bitorder="little")[:300]
             assert hits.astype(bool).tolist() == [(int(base[q]) ^ int(x)).bit_count() <= radius for x in base]
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize("block, radius", [(4, 3), (2048, 3), (2048, 4), (2048, 1)])
+def test_near_duplicates(spark, block, radius):
     rng = random.Random(block)
     prints = []
     for _ in range(12):
@@ -158,8 +158,8 @@ def test_near_duplicates(spark, block):
                 now ^= 1 << rng.randint(0, 63)
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     df = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(4)
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, block=block)).collect()}
-    want = brute_components([p % (1 << 64) for p in signed])
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, radius, block)).collect()}
+    want = brute_components([p % (1 << 64) for p in signed], radius)
     groups = {}
     for p, g in zip(signed, want):
         groups.setdefault(g, set()).add(found.get(p, p))
@@ -182,8 +182,10 @@ def test_near_duplicate_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
-def test_keep_one_by_component(spark):
-    """Null and repeated keys: every component keeps one row, whatever its key."""
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_keep_one_by_component(spark, monkeypatch, rows):
+    """Null and repeated keys: every component keeps one row, whatever its key, whether hashes are broadcast or not."""
+    monkeypatch.setattr(simhash, "BROADCAST", rows)
     texts = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcdef"]
     rows = [
         (None, texts[0], "x"), (None, texts[1], "x"), (None, texts[2], None),  # alone
