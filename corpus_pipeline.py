@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, langid, mixing, pii, queries, simhash
-from tessella.llm.common import bound_batches, checkpointed, held_out, utf8
+from tessella.llm.common import bound_batches, discarded, held_out, utf8, written
 
 #: Documents of which a lower share of letters is in words of learned languages, all of them together, go.
 LEAST_SCORE = 0.4
@@ -63,10 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table; each result is written to the shared folder and read again."""
+    """All stages on the documents table; each result is written to the shared folder and read again, and deleted once the next
+    one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = written(docs)
+            discarded(before)
     return docs
