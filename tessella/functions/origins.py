@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import present
 
+# What tells an origin by address or media format.
 VIDEO_URL = r"youtube\.com/watch|youtu\.be/|youtube\.com/shorts/"
 PDF_URL = r"\.pdf(\?|#|\z)"
 AUDIO_FORMATS = r"mp3|wav|flac|ogg|aac|m4a|opus"
@@ -23,8 +24,8 @@ def url_origin(url: Column) -> Column:
 
 
 def file_origin(path: Column, media_format: Column) -> Column:
-    """media_format: what a media probe says of the file; null if nothing."""
-    return F.when(path.rlike(r"\.pdf\z"), "pdf").when(F.coalesce(media_format, F.lit("")).rlike(AUDIO_FORMATS), "audio").otherwise("file")
+    """media_format: what a media probe says of the file, in any case; null if nothing."""
+    return F.when(path.rlike(r"\.pdf\z"), "pdf").when(F.coalesce(media_format, F.lit("")).rlike(f"(?i){AUDIO_FORMATS}"), "audio").otherwise("file")
 
 
 def origin(given: Column, manifest: Column, ref_path: Column, ref_source: Column, ref_id: Column, url: Column, path: Column, media_format: Column, detect: bool = True) -> Column:

@@ -115,6 +115,34 @@ def archived(items: DataFrame, order: Column) -> DataFrame:
     return items.withColumn("_n", F.row_number().over(W.partitionBy("archive").orderBy(order.desc()))).filter("_n = 1").drop("_n")
 
 
+def archived_files(items: DataFrame, originals: DataFrame, day: Column, folder: str) -> DataFrame:
+    """items: file, canonical; originals: path, length. Adds length, where the copy goes, with the file's extension, and an error
+    where there is no such file."""
+    joined = items.join(originals.select(F.col("path").alias("_path"), "length"), F.col("file") == F.col("_path"), "left")
+    there = F.col("_path").isNotNull()
+    name = text.archive_name(day, F.col("canonical"), text.extension(F.col("file")))
+    return joined.withColumns({"archive": F.when(there, F.concat(F.lit(f"{folder}/"), name)), "error": F.when(~there, F.concat(F.lit("file not found: "), "file"))}).drop("_path")
+
+
+# Content format of an origin; others are text.
+FORMATS = {"youtube": "transcript", "audio": "transcript", "pdf": "pdf", "ref:vault": "reference", "ref:mcp": "reference"}
+
+
+def source_note(df: DataFrame, day: Column, by: str = "agent") -> Column:
+    """The unchanging note of a captured source (origin, source_type, content; url, author, archive, origin_path if there are such columns)."""
+    formats = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+
+    def optional(name: str) -> Column:
+        value = text.present(F.col(name).cast("string")) if name in df.columns else F.lit(None).cast("string")
+        return F.when(value.isNotNull(), fmt.field(name, value))
+
+    lines = [
+        F.lit("type: source"), fmt.field("source_type", F.col("source_type")), fmt.field("content_format", F.coalesce(F.element_at(formats, F.col("origin")), F.lit("text"))), fmt.field("origin", F.col("origin")),
+        optional("url"), optional("author"), fmt.field("captured", F.date_format(day, "yyyy-MM-dd")), F.lit(f"captured_by: {by}"), optional("archive"), optional("origin_path"),
+    ]
+    return fmt.serialized(F.array_compact(F.array(*lines)), F.col("content"))
+
+
 def notes(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Raw notes to rows: path, fm (map), pairs (ordered), body."""
     c = F.col(content)

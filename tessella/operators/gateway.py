@@ -17,6 +17,8 @@ NOTES = {
     "ref:mcp": "Note: fetch the item by its source and id.",
     "pdf": "Content format: pdf\nNote: read the file, and record its number of pages.",
 }
+#: Characters of a text that a dry run shows.
+PREVIEW_CHARS = 300
 RENDERED = "Note: the page was rendered beforehand; its text comes with the request."
 
 
@@ -28,7 +30,7 @@ def template(df: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def request(
-    row: DataFrame, *, origin: str = "origin", source_type: str = "source_type", reader: Column | None = None, template: Column | None = None, instructions: str = "", dry: bool = False
+    row: DataFrame, *, origin: str = "origin", source_type: str = "source_type", reader: Column | None = None, template: Column | None = None, instructions: str = ""
 ) -> Column:
     """One request for a row that may have the columns url, file, title, author, ref_path, ref_source, ref_id, origin_path,
     archive, render, context, session, intent, import_source and import_batch; lines without a value are left out."""
@@ -60,6 +62,18 @@ def request(
     return F.concat_ws("\n", *[p for p in parts if p is not None])
 
 
+def dry_run(rows: DataFrame, content: str = "content", **how) -> DataFrame:
+    """What would be asked, without asking: adds the request, the start of the text that would go with it (null: none), and its length."""
+    said = text.present(F.col(content))
+    return rows.withColumns({"request": request(rows, **how), "preview": F.substring(said, 1, PREVIEW_CHARS), "n_chars": F.coalesce(F.length(said), F.lit(0)).cast("long")})
+
+
+def referenced(items: DataFrame, notes: DataFrame) -> DataFrame:
+    """items: ref_path; notes: path, content, one row a path. Adds content, and an error where there is no such note."""
+    joined = items.join(notes.select(F.col("path").alias("_path"), "content"), F.col("ref_path") == F.col("_path"), "left")
+    return joined.withColumn("error", F.when(F.col("_path").isNull(), F.concat(F.lit("note not found: "), "ref_path"))).drop("_path")
+
+
 def batch_items(manifest: DataFrame, inherited: dict[str, str] | None = None) -> DataFrame:
     """Manifest rows (with position, from 0) to gateway rows: empty fields null, origin and type found, label, and the
     batch's own parameters, which are literals."""
@@ -76,14 +90,13 @@ def batch_items(manifest: DataFrame, inherited: dict[str, str] | None = None) ->
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
-    """results: position, label, ok. One row: total, passed, failed, failures (by position), all_ok."""
-    failures = F.transform(
-        F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("position", "label")))),
-        lambda x: F.format_string("[%d] %s: gateway failed", x["position"] + 1, x["label"]),
-    )
-    return results.agg(
-        F.count("*").alias("total"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), failures.alias("failures"), (F.count_if(~F.col("ok")) == 0).alias("all_ok")
-    )
+    """results: position, label, ok. One row of counts: total, passed, failed, all_ok."""
+    return results.agg(F.count("*").alias("total"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), (F.count_if(~F.col("ok")) == 0).alias("all_ok"))
+
+
+def batch_failures(results: DataFrame) -> DataFrame:
+    """position, failure: a row for each item that failed."""
+    return results.filter(~F.col("ok")).select("position", F.format_string("[%d] %s: gateway failed", F.col("position") + 1, "label").alias("failure"))
 
 
 def results(output: DataFrame, column: str = "line") -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 #: Keys that are looked at to choose where ranges end.
 SAMPLE = 1024
 
@@ -14,15 +16,18 @@ def numbered(df: DataFrame, key: Column, name: str = "n", ranges: int | None = N
     """Adds 1, 2, 3... in order of a string key; ties are in any order, so the key should be unique.
 
     Range ends come from the SAMPLE keys of least hash, so they are the same whenever the plan runs. Rows are ranked within
-    their range, and each range starts after the sum of those before: one row a range crosses to one task.
+    their range, and each range starts after the sum of those before: one row a range crosses to one task. Only keys are read
+    beforehand, once where a session names a folder to keep them in.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_key", key)
-    seen = sorted(r[0] for r in keyed.select("_key").filter("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE).collect())
+    keys = cut(keyed.select("_key"))
+    seen = sorted(r[0] for r in keys.filter("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE).collect())
     ends = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
     bucket = F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda end: end <= F.col("_key"))) if ends else F.lit(0)
-    placed = keyed.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    bucket = F.coalesce(bucket, F.lit(-1))
+    placed = keyed.withColumn("_bucket", bucket)
+    sizes = keys.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = sizes.select("_bucket", (F.sum("_size").over(W.orderBy("_bucket")) - F.col("_size")).alias("_before"))
     ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy("_key")))
     # at most `ranges` rows

@@ -29,6 +29,12 @@ def low_value(fm: Column, least: int) -> Column:
     return fmt.integer(fm, "value") < least
 
 
+def skip_gate(items: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """items: fm. Adds skipped: below the threshold, if `skip` is among the known destinations."""
+    declared = known.agg(F.coalesce(F.max(F.col("destination") == "skip"), F.lit(False)).alias("_declared"))
+    return items.crossJoin(F.broadcast(declared)).withColumn("skipped", F.col("_declared") & low_value(F.col("fm"), least)).drop("_declared")  # one row
+
+
 def auto_skipped(pairs: Column, fm: Column, least: int) -> Column:
     """Ordered frontmatter of an item below the threshold; reasons that are there stay."""
     said = F.format_string("auto-skip: value %d < %d", fmt.integer(fm, "value"), F.lit(least))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -24,6 +26,7 @@ def bm25(df: DataFrame, query: list[str], key: str = "doc_id", text: str = "text
     counts = df.select(F.col(key).alias(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select(
         key, F.size(words).alias("len"), *[(F.size(words) - F.size(F.array_remove(words, w.lower()))).alias(f"tf{i}") for i, w in enumerate(query)]
     )
+    counts = cut(counts)
     whole = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     joined = counts.crossJoin(F.broadcast(whole))  # one row
     score = F.lit(0.0)

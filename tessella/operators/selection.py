@@ -5,7 +5,7 @@ A predicate is pushed below the projection that parses a note, so each binds the
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import frontmatter as fmt
@@ -82,6 +82,11 @@ def long_media(seconds: Column, most: int = 3600) -> Column:
     return seconds > most
 
 
+def first(df: DataFrame, most: int, order: Column) -> DataFrame:
+    """The first rows in an order; 0: all. Each task keeps its own first rows."""
+    return df.orderBy(order).limit(most) if most else df
+
+
 def wanted_kinds(kind: Column, only: list[str] | None = None, skip: list[str] | None = None) -> Column:
     """Per-source selection."""
     kept = kind.isin(only) if only else F.lit(True)

@@ -22,9 +22,14 @@ def export_notes(df: DataFrame, path: str, folder: str = "destination", name: st
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """A JSON array on one line, null fields left out. A manifest is one file for one reader: it is gathered, as is its nature."""
-    rows = df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("value"))
-    rows.coalesce(1).write.mode("overwrite").text(path)
+    """A folder of JSON objects, one a line, null fields left out; tasks write their own parts. sources.notes.read_manifest_parts() reads it."""
+    df.write.mode("overwrite").json(path)
+
+
+def archive_texts(df: DataFrame, path: str | None, name: str = "archive", content: str = "content") -> None:
+    """Texts by archive name, one folder each; what is there under a name is replaced, and other names stay. Without a path nothing is done."""
+    if path:
+        df.select(name, content).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).option("lineSep", "\n").text(path)
 
 
 def append_letters(df: DataFrame, path: str, letter: str = "letter") -> None:

@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split_select(select: str) -> list[str]:
+    """Select items of one text of SQL, cut at commas outside brackets."""
+    out, depth, now = [], 0, ""
+    for c in select:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(now)
+            now = ""
+        else:
+            now += c
+    return [*out, now]
+
+
 def day() -> Column:
     return F.expr(DAY)
 
@@ -36,7 +49,7 @@ NOTE = f"""CASE WHEN doc_id % 5 = 0 THEN text ELSE
   || CASE WHEN doc_id % 2 = 0 THEN 'domain: tools' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 10 < 6 THEN 'destination: ' || {DESTINATION} || chr(10) ELSE '' END
   || CASE WHEN doc_id % 17 = 0 THEN 'status: classified' || chr(10) ELSE '' END
-  || '---' || chr(10) || CASE WHEN doc_id % 12 = 1 THEN '# Head' || chr(10) || '## Preview' || chr(10) || chr(10) || substr(text, 1, 90) || chr(10) || chr(10) || 'more' ELSE text END
+  || '---' || chr(10) || CASE WHEN doc_id % 12 = 1 THEN '# Head' || chr(10) || '## Preview' || chr(10) || chr(10) || replace(text, chr(10) || chr(10), chr(10)) || chr(10) || chr(10) || 'more' ELSE text END
 END"""
 
 #: Columns doc_id, path, content of dump notes.

@@ -9,7 +9,7 @@ from tessella.functions import extracts, origins, text
 from tessella.functions import frontmatter as fmt
 from tessella.operators import capture, selection, status
 from tessella.operators.numbering import collision_names
-from tessella.plans.fixtures import DAY, DEVICES_SQL, PARSED_SQL, TABS_SQL, day, devices, duck_strip, dump_notes, table, tabs
+from tessella.plans.fixtures import DAY, DEVICES_SQL, PARSED_SQL, TABS_SQL, day, devices, duck_strip, dump_notes, split_select, table, tabs
 from tessella.sources.bookmarks import flatten
 
 
@@ -134,10 +134,10 @@ REWRITTEN_SQL = f"""{PARSED_SQL} SELECT doc_id, '---' || chr(10) || {" || ".join
 
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.substring("text", 1, 120)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-SLUG_SQL = f"""SELECT doc_id, coalesce(nullif(substr(regexp_replace({duck_strip("regexp_replace(substr(text, 1, 120), '[^\\p{L}\\p{N}_\\s-]', '', 'g')")}, '[-\\s]+', '-', 'g'), 1, 80), ''), 'untitled') AS slug FROM documents"""
+SLUG_SQL = f"""SELECT doc_id, coalesce(nullif(substr(regexp_replace({duck_strip("regexp_replace(text, '[^\\p{L}\\p{N}_\\s-]', '', 'g')")}, '[-\\s]+', '-', 'g'), 1, 80), ''), 'untitled') AS slug FROM documents"""
 
 
 def open_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,19 +158,6 @@ CLOUD_SQL = f"""SELECT 'cloud-tabs' AS kind, url, coalesce(nullif(title, ''), ur
 FROM ({TABS_SQL}) t LEFT JOIN {DEVICES_SQL} ON t.device_uuid = d.device_uuid WHERE starts_with(url, 'http')"""
 
 
-def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cloud = cloud_tabs(spark, sf_dir).withColumn("seq", F.xxhash64("url"))
-    return capture.union(open_tabs(spark, sf_dir), cloud)
-
-
-def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.counts(_captures(spark, sf_dir), ["reading-list", "bookmarks", "open-tabs", "cloud-tabs"])
-
-
-COUNTS_SQL = f"""SELECT k AS kind, count(c.kind)::BIGINT AS n FROM (VALUES ('reading-list'), ('bookmarks'), ('open-tabs'), ('cloud-tabs')) AS v(k)
-LEFT JOIN (SELECT kind FROM ({OPEN_SQL}) UNION ALL SELECT kind FROM ({CLOUD_SQL})) c ON v.k = c.kind GROUP BY k"""
-
-
 def per_kind_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").selectExpr("page_id", "'k' || cast(page_id % 3 AS string) AS kind")
     return capture.limited(rows, 7, order="page_id")
@@ -202,40 +189,50 @@ NOTE_SQL = f"""SELECT seq, '---' || chr(10) || 'type: dump-item' || chr(10) || '
   || chr(10) || '**Folder:** open-tabs' || chr(10) AS note FROM ({OPEN_SQL})"""
 
 
-def _tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").selectExpr(
-        "page_id AS id", "CASE WHEN page_id > 0 THEN page_id div 5 END AS parent_id", "CASE WHEN page_id >= 60 THEN 'WebBookmarkTypeLeaf' ELSE 'WebBookmarkTypeList' END AS type",
-        "CASE WHEN page_id % 4 = 3 THEN '' WHEN page_id = 8 THEN 'com.apple.ReadingList' ELSE 'F' || cast(page_id AS string) END AS title", "url",
-    )
+NODE = """page_id AS id, CASE WHEN page_id > 0 THEN cast(floor(page_id / 5) AS bigint) END AS parent_id, CASE WHEN page_id >= 60 THEN 'WebBookmarkTypeLeaf' ELSE 'WebBookmarkTypeList' END AS type,
+  CASE WHEN page_id % 4 = 3 THEN '' WHEN page_id = 8 THEN 'com.apple.ReadingList' ELSE 'F' || cast(page_id AS string) END AS title, CASE WHEN page_id % 50 = 9 THEN '' ELSE url END AS url,
+  CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN null ELSE 'B' || cast(page_id AS string) END AS uri_title, 'u' || cast(page_id AS string) AS uuid, CASE WHEN page_id % 6 = 0 THEN 'p' END AS preview,
+  CASE WHEN page_id % 4 = 0 THEN TIMESTAMP '2026-01-02 10:00:00' END AS reading_added, CASE WHEN page_id % 4 = 1 THEN TIMESTAMP '2025-05-06 00:00:00' END AS added"""
 
 
-def _flat(nodes: DataFrame) -> DataFrame:
-    found = flatten(nodes)
-    return found.select("id", "url", F.array_join("folders", " / ").alias("folder"), selection.in_reading_list(F.col("folders")).alias("reading_list"))
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of a tree of all pages: from 60 on a page is a leaf, and a page's children have five times its number and up to four more."""
+    return flatten(table(spark, sf_dir, "pages").selectExpr(*split_select(NODE)))
 
 
 def bookmark_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 250 pages, as its SQL has it; bookmark_tree_whole has all."""
-    return _flat(_tree_nodes(spark, sf_dir).filter("id < 250"))
+    return _tree(spark, sf_dir).select("id", "url", F.array_join("folders", " / ").alias("folder"), selection.in_reading_list(F.col("folders")).alias("reading_list"))
+
 
+WALK_SQL = f"""WITH RECURSIVE nodes AS (SELECT {NODE} FROM pages), walk AS (
+  SELECT id, title AS folder FROM nodes WHERE parent_id IS NULL AND type = 'WebBookmarkTypeList'
+  UNION ALL
+  SELECT n.id, CASE WHEN n.title = '' THEN w.folder WHEN w.folder = '' THEN n.title ELSE w.folder || ' / ' || n.title END FROM nodes n JOIN walk w ON n.parent_id = w.id WHERE n.type = 'WebBookmarkTypeList'
+), leaves AS (SELECT n.*, w.folder FROM nodes n JOIN walk w ON n.parent_id = w.id WHERE n.type = 'WebBookmarkTypeLeaf')"""
+TREE_SQL = f"{WALK_SQL} SELECT id, url, folder, contains(folder, 'com.apple.ReadingList') AS reading_list FROM leaves"
 
-def bookmark_tree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_tree_nodes(spark, sf_dir))
 
+def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.bookmarks(_tree(spark, sf_dir))
 
-TREE_SQL = """WITH RECURSIVE nodes AS (
-  SELECT page_id AS id, CASE WHEN page_id > 0 THEN page_id // 5 END AS parent_id, page_id >= 60 AS leaf, url,
-    CASE WHEN page_id % 4 = 3 THEN '' WHEN page_id = 8 THEN 'com.apple.ReadingList' ELSE 'F' || page_id::VARCHAR END AS title FROM pages WHERE page_id < 250
-), walk AS (
-  SELECT id, title AS folder, leaf, url FROM nodes WHERE parent_id IS NULL
-  UNION ALL
-  SELECT n.id, CASE WHEN n.leaf OR n.title = '' THEN w.folder WHEN w.folder = '' THEN n.title ELSE w.folder || ' / ' || n.title END, n.leaf, n.url FROM nodes n JOIN walk w ON n.parent_id = w.id
-)
-SELECT id, url, folder, contains(folder, 'com.apple.ReadingList') AS reading_list FROM walk WHERE leaf"""
 
-WHOLE_TREE_SQL = TREE_SQL.replace(" WHERE page_id < 250", "")
+BOOKMARKS_SQL = f"""{WALK_SQL} SELECT CASE WHEN contains(folder, 'com.apple.ReadingList') THEN 'reading-list' ELSE 'bookmarks' END AS kind, url, coalesce(nullif(uri_title, ''), url) AS title, uuid, coalesce(preview, '') AS preview,
+  coalesce(strftime(coalesce(reading_added, added), '%Y-%m-%d'), '') AS date_added, folder FROM leaves WHERE url <> ''"""
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = cloud_tabs(spark, sf_dir).withColumn("seq", F.xxhash64("url"))
+    return capture.union(open_tabs(spark, sf_dir), cloud, bookmarks(spark, sf_dir))
+
+
+def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.counts(_captures(spark, sf_dir), ["reading-list", "bookmarks", "open-tabs", "cloud-tabs"])
+
+
+COUNTS_SQL = f"""SELECT k AS kind, count(c.kind)::BIGINT AS n FROM (VALUES ('reading-list'), ('bookmarks'), ('open-tabs'), ('cloud-tabs')) AS v(k)
+LEFT JOIN (SELECT kind FROM ({OPEN_SQL}) UNION ALL SELECT kind FROM ({CLOUD_SQL}) UNION ALL SELECT kind FROM ({BOOKMARKS_SQL})) c ON v.k = c.kind GROUP BY k"""
 
-IDEA_BODY = """'### Key Ideas' || chr(10) || '- **Idea ' || cast(doc_id AS string) || '** #' || CASE WHEN doc_id % 3 = 0 THEN 'Tools' ELSE 'tools/' || lang END || ' — ' || replace(substr(text, 1, 70), chr(10), ' ') || chr(10)
+IDEA_BODY = """'### Key Ideas' || chr(10) || '- **Idea ' || cast(doc_id AS string) || '** #' || CASE WHEN doc_id % 3 = 0 THEN 'Tools' ELSE 'tools/' || lang END || ' — ' || replace(text, chr(10), ' ') || chr(10)
   || CASE WHEN doc_id % 2 = 0 THEN '- **Second** #career — short claim' || chr(10) ELSE '' END || '### Connections' || chr(10) || '- [[topic ' || cast(doc_id % 7 AS string) || ']] — because' || chr(10) || '- [[' || lang || ']]' || chr(10)
   || '### Raw Quotes' || chr(10) || '> "Said ' || cast(doc_id AS string) || '" — Someone' || chr(10)"""
 
@@ -324,7 +321,7 @@ PLANS = {
     "archive_names": (archive_names, ARCHIVE_SQL), "collision_names": (collisions, COLLISION_SQL), "status_totals": (status_totals, TOTALS_SQL), "status_recent": (status_recent, RECENT_SQL),
     "dump_frontmatter": (dump_frontmatter, FRONTMATTER_SQL), "dump_rewritten": (dump_rewritten, REWRITTEN_SQL), "slugs": (slugs, SLUG_SQL), "open_tabs": (open_tabs, OPEN_SQL),
     "cloud_tabs": (cloud_tabs, CLOUD_SQL), "capture_counts": (capture_counts, COUNTS_SQL), "per_kind_limit": (per_kind_limit, LIMIT_SQL), "bookmark_dedupe": (bookmark_dedupe, DEDUPE_SQL),
-    "dump_note_texts": (dump_note_texts, NOTE_SQL), "bookmark_tree": (bookmark_tree, TREE_SQL), "bookmark_tree_whole": (bookmark_tree_whole, WHOLE_TREE_SQL), "key_ideas": (key_ideas, IDEAS_SQL), "connections": (connections, CONNECTIONS_SQL),
+    "dump_note_texts": (dump_note_texts, NOTE_SQL), "bookmark_tree": (bookmark_tree, TREE_SQL), "bookmarks": (bookmarks, BOOKMARKS_SQL), "key_ideas": (key_ideas, IDEAS_SQL), "connections": (connections, CONNECTIONS_SQL),
     "idea_conformance": (idea_conformance, CONFORMANCE_SQL), "section_map": (section_map, SECTION_SQL), "lifecycle": (lifecycle, LIFECYCLE_SQL), "dashboard": (dashboard, DASHBOARD_SQL),
     "dashboard_view": (dashboard_view, VIEW_SQL), "kind_selection": (kind_selection, KIND_SQL),
 }

@@ -6,7 +6,7 @@ configuration overrides; nothing sizes the job to one machine.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps date arithmetic equal on every host.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
@@ -27,3 +27,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **more: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut through the shared folder in spark.checkpoint.dir; as it is where a session names none. For small
+    tables that several jobs or rounds read."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if folder is None:
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
+from tessella.session import cut
+
 LEAVES = "path string, position long, url string, uri_title string, uuid string, preview string, reading_added timestamp, added timestamp, folders array<string>"
 
 
@@ -48,18 +50,24 @@ def read_plist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten(nodes: DataFrame) -> DataFrame:
-    """The same from a parent-child table (id, parent_id, type, title, ...): leaves with the titles above them, by a recursive query."""
-    nodes.createOrReplaceTempView("_bookmark_nodes")
-    walked = nodes.sparkSession.sql("""
-        WITH RECURSIVE walk(id, folders) AS (
-          SELECT id, CASE WHEN coalesce(title, '') = '' OR type = 'WebBookmarkTypeLeaf' THEN array() ELSE array(title) END FROM _bookmark_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, CASE WHEN coalesce(n.title, '') = '' OR n.type = 'WebBookmarkTypeLeaf' THEN w.folders ELSE array_append(w.folders, n.title) END
-          FROM _bookmark_nodes n JOIN walk w ON n.parent_id = w.id
-        )
-        SELECT id, folders FROM walk
-    """)
-    return nodes.filter(F.col("type") == "WebBookmarkTypeLeaf").join(walked, "id")
+    """The same from a parent-child table (id, parent_id, type, title, ...): leaves with the titles above them. Folders whose parents
+    lead to no root, or to themselves, are left out with all that they hold.
+
+    Each round joins every open folder with what is known of its uppermost known parent, so the reach doubles: rounds grow with the logarithm of
+    the depth. Only the number of open folders comes to the driver; it falls until what is left leads nowhere.
+    """
+    own = F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array("title"))
+    leaf = F.coalesce(F.col("type") == "WebBookmarkTypeLeaf", F.lit(False))
+    now = cut(nodes.filter(~leaf).select("id", F.col("parent_id").alias("above"), own.alias("folders")))
+    left = None
+    while (still := now.filter("above is not null").count()) and still != left:
+        left = still
+        known = now.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("folders").alias("_folders"))
+        joined = now.filter("above is not null").join(known, F.col("above") == F.col("_id"))
+        now = cut(now.filter("above is null").unionByName(joined.select("id", F.col("_above").alias("above"), F.concat("_folders", "folders").alias("folders"))))
+    paths = now.filter("above is null").select(F.col("id").alias("_id"), "folders")
+    held = nodes.filter(leaf & F.col("parent_id").isNotNull()).join(paths, F.col("parent_id") == F.col("_id")).drop("_id")
+    return held.unionByName(nodes.filter(leaf & F.col("parent_id").isNull()).withColumn("folders", F.array().cast("array<string>")))
 
 
 class SqliteSource(DataSource):

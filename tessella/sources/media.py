@@ -58,6 +58,15 @@ def audio_title(title: Column, path: Column) -> Column:
     return F.coalesce(present(title), stem(path))
 
 
+def transcribed(df: DataFrame, no_recognition: bool = False) -> DataFrame:
+    """df: captions, recognised, title, file and others of document(). Adds transcript, method, document, and an error where there is no text; the
+    title is the file's stem where there is none."""
+    said, method = with_fallback(F.col("captions"), F.col("recognised"), no_recognition)
+    rows = df.withColumns({"transcript": said, "method": method, "title": audio_title(F.col("title"), F.col("file"))})
+    silent = F.col("transcript").isNull()
+    return rows.withColumns({"document": F.when(~silent, document(rows)), "error": F.when(silent, F.lit("empty transcript"))})
+
+
 def document(df: DataFrame) -> Column:
     """Header lines and text of a transcript row (title, channel or file, seconds, published, url, language, method, description, transcript)."""
     def line(label: str, value: Column) -> Column:

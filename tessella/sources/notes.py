@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,11 @@ DEFAULTS = {
 }
 
 
+_TARGET = re.compile(
+    r"""(?P<name>[^\s#][^:#]*):(?=\s|$)\s*(?:"(?P<double>(?:[^"\\]|\\.)*)"|'(?P<single>(?:[^']|'')*)'|(?P<plain>(?:[^\s#"']|(?<!\s)#|(?<!^)["']|[^\S\n](?!#))*))\s*(?:(?<=\s)\#.*)?$"""
+)
+
+
 def read_notes(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, content: a row for each Markdown file; paths are as Spark has them, with scheme."""
     rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive)
@@ -46,10 +52,21 @@ def from_text(spark: SparkSession, content: str, title: str | None = None, origi
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """position (from 0) and the manifest's fields as text; null and false are empty. Text that isn't a JSON array raises."""
+    return manifest_items(spark.read.text(path, wholetext=True))
+
+
+def manifest_items(df: DataFrame, column: str = "value") -> DataFrame:
+    """The same from a column of manifest texts; the other columns stay in front."""
     element = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_FIELDS])
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.from_json("value", T.ArrayType(element), {"mode": "FAILFAST"}).alias("items"))
-    rows = parsed.select(F.posexplode("items").alias("position", "i")).select("position", "i.*")
+    others = [c for c in df.columns if c != column]
+    parsed = df.select(*others, F.from_json(column, T.ArrayType(element), {"mode": "FAILFAST"}).alias("items"))
+    rows = parsed.select(*others, F.posexplode("items").alias("position", "i")).select(*others, "position", "i.*")
+    return rows.select(*others, "position", *[F.when(F.col(c) == "false", "").otherwise(F.coalesce(c, F.lit(""))).alias(c) for c in MANIFEST_FIELDS])
+
+
+def read_manifest_parts(spark: SparkSession, path: str) -> DataFrame:
+    """What sinks.write_manifest() wrote, with the same rules for fields; position as written."""
+    rows = spark.read.schema(", ".join(["position long", *(f"{c} string" for c in MANIFEST_FIELDS)])).option("mode", "FAILFAST").json(path)
     return rows.select("position", *[F.when(F.col(c) == "false", "").otherwise(F.coalesce(c, F.lit(""))).alias(c) for c in MANIFEST_FIELDS])
 
 
@@ -60,6 +77,20 @@ def yaml_value(lines: DataFrame, key: str, home: str = "") -> str:
     return home + value[1:] if home and value.startswith("~") else value
 
 
+def config_table(files: DataFrame, home: str = "", column: str = "value") -> DataFrame:
+    """key and value of every known key, for each text of flat `key: value` lines: that of the first line of the key, or else the
+    default. The other columns stay in front."""
+    lines = F.split(column, "\n")
+
+    def value(key: str, default: str) -> Column:
+        first = text.config_value(F.get(F.filter(lines, lambda line: F.startswith(line, F.lit(f"{key}: "))), F.lit(0)), key)
+        placed = F.when(first.startswith("~"), F.concat(F.lit(home), F.substring(first, 2, 1 << 30))).otherwise(first) if home else first
+        return F.struct(F.lit(key).alias("key"), F.coalesce(text.present(placed), F.lit(default)).alias("value"))
+
+    found = F.array(*[value(k, v) for k, v in {"vault_path": "", "reader_context_path": "", **DEFAULTS}.items()])
+    return files.select(*[c for c in files.columns if c != column], F.explode(found).alias("c")).select(*[c for c in files.columns if c != column], "c.*")
+
+
 def find_config(given: str | None = None, environment: Mapping[str, str] = os.environ, here: str = ".", root: str = ".") -> str:
     """What was given, else the environment's, else the current folder's, else the root's."""
     candidates = [given or environment.get(CONFIG_VARIABLE) or ""]
@@ -85,14 +116,18 @@ def load_config(spark: SparkSession, path: str, home: str = "") -> dict[str, str
 
 
 def load_targets(path: str, home: str = "") -> dict[str, str | None]:
-    """Destinations and their folders, in file order, from flat YAML; an empty target is None."""
+    """Destinations and their folders, in file order, from flat YAML; an empty target is None. A comment starts a line or follows white
+    space, outside quotes. A quoted value ends with its quote; in double quotes a backslash escapes."""
     out: dict[str, str | None] = {}
     with open(path, encoding="utf-8") as lines:
         for line in lines:
-            name, colon, value = line.split("#")[0].partition(":")
-            if colon and name.strip():
-                value = value.strip().strip("\"'")
-                out[name.strip()] = (home + value[1:] if home and value.startswith("~") else value) or None
+            m = _TARGET.match(line)
+            if m:
+                double, single, plain = m["double"], m["single"], m["plain"]
+                value = re.sub(r"\\(.)", r"\1", double) if double is not None else single.replace("''", "'") if single is not None else plain.strip()
+                if plain is not None and value in ("~", "null", "Null", "NULL", "false", "False", "FALSE"):
+                    value = ""
+                out[m["name"].strip().strip("\"'")] = (home + value[1:] if home and re.match(r"~(/|$)", value) else value) or None
     return out
 
 

@@ -116,7 +116,8 @@ def test_gateway(spark, tmp_path):
     (tmp_path / "empty.json").write_text("[]")
     assert notes.read_manifest(spark, str(tmp_path / "empty.json")).count() == 0
     results = spark.createDataFrame([(0, "a", True), (2, "c", False), (1, "b", False)], "position int, label string, ok boolean")
-    assert tuple(gateway.batch_summary(results).first()) == (3, 1, 2, ["[2] b: gateway failed", "[3] c: gateway failed"], False)
+    assert tuple(gateway.batch_summary(results).first()) == (3, 1, 2, False)
+    assert sorted(map(tuple, gateway.batch_failures(results).collect())) == [(1, "[2] b: gateway failed"), (2, "[3] c: gateway failed")]
 
 
 def test_requests(spark):
@@ -174,7 +175,7 @@ def test_first_notes_and_sinks(spark, tmp_path):
     sinks.export_notes(spark.createDataFrame([("work", "a.md", "---\nx: 1\n---\nB")], "destination string, name string, content string"), str(tmp_path / "out"))
     assert notes.read_one(spark, str(tmp_path / "out/destination=work/name=a.md/part-*")).first()["content"] == "---\nx: 1\n---\nB\n"
     sinks.write_manifest(spark.createDataFrame([("url", "https://u", None)], "origin string, url string, ref_path string"), str(tmp_path / "m"))
-    assert [(r["origin"], r["url"], r["ref_path"]) for r in notes.read_manifest(spark, str(tmp_path / "m")).collect()] == [("url", "https://u", "")]
+    assert [(r["origin"], r["url"], r["ref_path"]) for r in notes.read_manifest_parts(spark, str(tmp_path / "m")).collect()] == [("url", "https://u", "")]
 
 
 def test_notes_library_and_stream(spark, tmp_path):
@@ -247,3 +248,46 @@ def test_lifecycle(spark):
     rows = spark.createDataFrame([("keep", True, True), ("", False, False), ("x", True, False), (None, True, True)], "s string, v boolean, r boolean")
     assert [r[0] for r in rows.select(status.dump_status(F.col("s"), F.col("v"), F.col("r"))).collect()] == ["keep", "unclassified", "classified", "routed"]
     assert [r[0] for r in rows.select(status.vault_status(F.col("v"), F.col("r"))).collect()] == ["integrated", "captured", "extracted", "integrated"]
+
+
+def test_targets_as_yaml_reads_them(tmp_path):
+    path = tmp_path / "t.yaml"
+    path.write_text("""# targets
+work: "/Vault #1/in"   # comment
+a: /a#b/c
+b: /x y # comment
+c: '/it''s here'
+d: ~
+e: "~/in"
+f:
+g: null
+h: "quote \\" # no"
+i: http://x:8/#y
+j:/not a pair
+""")
+    found = notes.load_targets(str(path), "/h")
+    assert found == {"work": "/Vault #1/in", "a": "/a#b/c", "b": "/x y", "c": "/it's here", "d": None, "e": "/h/in", "f": None, "g": None, "h": 'quote " # no', "i": "http://x:8/#y"}
+
+
+def test_media_formats_in_any_case(spark):
+    from tessella.functions import origins
+
+    rows = spark.createDataFrame([("x.MP3", "MP3"), ("y.bin", "Data"), ("z.pdf", None), ("w.opus", "ogg, Opus")], "path string, format string")
+    assert [r[0] for r in rows.select(origins.file_origin(F.col("path"), F.col("format"))).collect()] == ["audio", "file", "pdf", "audio"]
+
+
+def test_deep_and_broken_trees(spark):
+    rows = [(0, None, "L", "R")] + [(k, k - 1, "L", f"f{k}" if k % 2 else "") for k in range(1, 300)]
+    rows += [(1000, 299, "WebBookmarkTypeLeaf", "x"), (1001, 0, "WebBookmarkTypeLeaf", "x"), (1002, 1003, "L", "c"), (1003, 1002, "L", "c"), (1004, 1002, "WebBookmarkTypeLeaf", "x"), (1005, 7777, "WebBookmarkTypeLeaf", "x")]
+    df = spark.createDataFrame(rows, "id long, parent_id long, type string, title string")
+    found = {r["id"]: r["folders"] for r in bookmarks.flatten(df).collect()}
+    assert set(found) == {1000, 1001} and found[1001] == ["R"] and found[1000] == ["R", *(f"f{k}" for k in range(1, 300, 2))]
+    assert bookmarks.flatten(df.limit(0)).count() == 0
+
+
+def test_archive_texts(spark, tmp_path):
+    df = spark.createDataFrame([("a.txt", "one"), ("b.txt", "two")], "archive string, content string")
+    sinks.archive_texts(df, None)
+    sinks.archive_texts(df, str(tmp_path / "x"))
+    sinks.archive_texts(df.limit(1).withColumn("content", F.lit("new")), str(tmp_path / "x"))
+    assert sorted((r["archive"], r["value"]) for r in spark.read.text(str(tmp_path / "x")).collect()) == [("a.txt", "new"), ("b.txt", "two")]
