@@ -10,6 +10,12 @@ bit planes, 64 fingerprints to a machine word; a carry-save counter adds the dif
 by plane, and a block is abandoned once all its distances exceed the radius. A key with many fingerprints is cut into
 blocks and each pair of blocks is a group of its own, so no group is unbounded. A group returns a forest of its links, never all
 pairs. Components then come from hooking each root to its least neighbour, and pointer jumping, until nothing changes.
+
+keep_one_similar() links texts by the Jaccard similarity of their sets of shingles, of five words: a fingerprint of WIDE bits, more than
+64 tell apart, is compared in the same way. There bands would be too short to be keys, so texts are compared that share a rare shingle:
+of the LOW shingles of least hash of a text, the KEYS that the fewest other texts have among theirs. Two texts at an angle (similarity s of
+sets of like size: cosine 2s / (1 + s)) differ in a number of bits with a mean and a spread; the radius is the mean at the wanted
+similarity and SLACK times the spread, so that most pairs at it are linked, nearly all above it, and few below.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.common import checkpointed, small, utf8
@@ -32,6 +39,10 @@ RADIUS = 3
 BLOCK = 2048
 #: Rows of two hashes up to which a table is broadcast.
 BROADCAST = 200_000
+#: Bits of a wide fingerprint, words of its shingles, the similarity from which texts are linked, and how far beyond its mean distance.
+WIDE, SIMILAR_WORDS, SIMILARITY, SLACK = 512, 5, 0.8, 1.0
+#: Shingles of least hash of a text, and those of them that are keys.
+LOW, KEYS = 16, 6
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> bytes:
@@ -70,16 +81,21 @@ def band_masks(radius: int = RADIUS) -> list[int]:
     return [sum(x) for x in combinations(bands, 3)]
 
 
-def planes(prints: np.ndarray) -> np.ndarray:
+def bits_of(prints: np.ndarray | list[bytes]) -> np.ndarray:
+    """A row of bits for each fingerprint, given as unsigned integers or as bytes; the order of bits is the same for all."""
+    raw = np.frombuffer(b"".join(prints), np.uint8) if isinstance(prints, list) else prints.astype("<u8").view(np.uint8)
+    return np.unpackbits(raw.reshape(len(prints), -1), axis=1, bitorder="little")
+
+
+def planes(bits: np.ndarray) -> np.ndarray:
     """Bit planes: row b holds bit b of every fingerprint, 64 to a word."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, -(-len(prints) // 64) * 64), np.uint8)
-    padded[:, : len(prints)] = bits.T
+    padded = np.zeros((bits.shape[1], -(-len(bits) // 64) * 64), np.uint8)
+    padded[:, : len(bits)] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def near(query: int, stored: np.ndarray, order: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Words whose set bits are the fingerprints at most `radius` from the query.
+def near(query: np.ndarray, stored: np.ndarray, order: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Words whose set bits are the fingerprints at most `radius` from the query, a row of bits.
 
     Each lane has a carry-save counter of as many bits as hold the radius; `over` keeps the lanes in which it has run over. Planes are
     taken in `order`, those that vary first, and words in which all lanes have run over are left out of later planes.
@@ -91,12 +107,15 @@ def near(query: int, stored: np.ndarray, order: np.ndarray, radius: int = RADIUS
     result = np.zeros(n, np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     most = (1 << len(counter)) - 1
-    for step, bit in enumerate(order):
+    flipped = query[order].tolist()
+    for step, (bit, flip) in enumerate(zip(order.tolist(), flipped)):
         plane = stored[bit] if live.size == n else stored[bit, live]
-        carry = ~plane if query >> int(bit) & 1 else plane
+        carry = ~plane if flip else plane
         for k, digit in enumerate(counter):
-            counter[k], carry = digit ^ carry, digit & carry
-        over |= carry
+            if step >= (1 << k) - 1:  # no lane has counted so far before
+                counter[k], carry = digit ^ carry, digit & carry
+        if step >= most:
+            over = over | carry
         if step >= radius and step % 8 == 7:
             gone = over if most == radius else over | _above(counter, radius)
             keep = gone != full
@@ -142,62 +161,70 @@ class _Union:
             self.links.append((i, j))
 
 
-def forest(rows: np.ndarray, columns: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
-    """Links that connect what all links within `rows` (or between rows and columns) connect: fewer than there are members."""
-    members = rows if columns is None else np.concatenate([rows, columns])
-    first = 0 if columns is None else len(rows)
-    stored = planes(members[first:])
+def forest(bits: np.ndarray, first: int = 0, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links, as pairs of rows, that connect what all links connect: fewer than there are rows. With `first`, only links
+    between the rows before it and those from it on."""
+    stored = planes(bits[first:])
     # planes in which nearly all agree come last: they rarely decide
-    share = np.unpackbits(stored.view(np.uint8), axis=1).mean(axis=1)
-    order = np.argsort(np.abs(share - 0.5), kind="stable")
-    union, count = _Union(len(members)), len(members) - first
-    for i, query in enumerate(rows.tolist()):
-        hits = np.unpackbits(near(query, stored, order, radius).view(np.uint8), bitorder="little")[:count]
+    order = np.argsort(np.abs(bits[first:].mean(axis=0) - 0.5), kind="stable")
+    union, count = _Union(len(bits)), len(bits) - first
+    for i in range(first or len(bits)):
+        hits = np.unpackbits(near(bits[i], stored, order, radius).view(np.uint8), bitorder="little")[:count]
         for j in (np.flatnonzero(hits) + first).tolist():
             union.link(i, j)
-    return members[np.array(union.links, np.int64).reshape(-1, 2)]
+    return union.links
 
 
-def small_forests(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def small_forests(bits: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """As forest(), for many small groups that lie side by side: 64 lanes of a word hold the distances of neighbours at one
     offset, whichever group they are of, and offsets grow until no group is that long."""
-    union = _Union(len(prints))
-    for offset in range(1, len(prints)):
-        i = np.flatnonzero(group[offset:] == group[:-offset])
-        if not i.size:
+    union, width = _Union(len(bits)), bits.shape[1]
+    for offset in range(1, len(bits)):
+        at = np.flatnonzero(group[offset:] == group[:-offset])
+        if not at.size:
             break
-        lanes = planes(prints[i] ^ prints[i + offset])
-        hits = np.unpackbits(near(0, lanes, np.arange(64), radius).view(np.uint8), bitorder="little")[: i.size]
-        for k in i[np.flatnonzero(hits)].tolist():
-            union.link(k, k + offset)
-    return prints[np.array(union.links, np.int64).reshape(-1, 2)]
+        for start in range(0, len(at), LANES):
+            i = at[start : start + LANES]
+            lanes = planes(bits[i] ^ bits[i + offset])
+            hits = np.unpackbits(near(np.zeros(width, np.uint8), lanes, np.arange(width), radius).view(np.uint8), bitorder="little")[: i.size]
+            for k in i[np.flatnonzero(hits)].tolist():
+                union.link(k, k + offset)
+    return union.links
 
 
+#: Distances that are worked out together.
+LANES = 1 << 14
 #: Larger groups are compared row by row against their planes.
 SMALL = 32
 
 
 def _links_of(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """batches: sorted by t, k, i, j. The rows of a group that may go on in the next batch wait for it."""
+    """batches: t, k, i, j, o, fp and perhaps node, which stands for fp in links; sorted by t, k, i, j. The rows of a group that may go on in
+    the next batch wait for it."""
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf[["t", "k", "i", "j"]].to_numpy()
-        fps = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        fps = pdf["fp"]
+        bits = bits_of(fps.tolist() if fps.dtype == object else fps.to_numpy().astype(np.int64).view(np.uint64))
+        nodes = pdf["node" if "node" in pdf else "fp"].to_numpy()
         starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
         sizes = np.diff(np.r_[starts, len(fps)])
         group = np.repeat(np.arange(len(starts)), sizes)
         whole = keys[:, 2] == keys[:, 3]
-        small = whole & (sizes[group] <= SMALL)
-        ends = [small_forests(fps[small], group[small], radius)]
+        small = np.flatnonzero(whole & (sizes[group] <= SMALL))
+        ends = [small[np.array(small_forests(bits[small], group[small], radius), np.int64).reshape(-1, 2)]]
         for at, n in zip(starts, sizes):
-            part = slice(at, at + n)
-            if not whole[at]:
-                left = pdf["o"].to_numpy()[part] == keys[at, 2]
-                if left.any() and not left.all():
-                    ends.append(forest(fps[part][left], fps[part][~left], radius))
-            elif n > SMALL:
-                ends.append(forest(fps[part], None, radius))
-        ends = np.concatenate(ends).view(np.int64).reshape(-1, 2)
+            if n <= SMALL and whole[at]:
+                continue
+            rows = np.arange(at, at + n)
+            first = 0
+            if not whole[at]:  # only what is between the two blocks
+                left = pdf["o"].to_numpy()[rows] == keys[at, 2]
+                rows, first = np.r_[rows[left], rows[~left]], int(left.sum())
+                if first in (0, n):
+                    continue
+            ends.append(rows[np.array(forest(bits[rows], first, radius), np.int64).reshape(-1, 2)])
+        ends = nodes[np.concatenate(ends)]
         return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
     waiting = None
@@ -216,16 +243,21 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     """prints: column fp, distinct. Returns links a, b (a < b as signed numbers), enough to connect every component."""
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in band_masks(radius)])
     keyed = prints.select("fp", F.posexplode(masks).alias("t", "m")).select("fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("k"))
+    return _linked(keyed, "fp", radius, block)
+
+
+def _linked(keyed: DataFrame, node: str, radius: int, block: int) -> DataFrame:
+    """keyed: t, k, fp and the column `node`. Links of what has a key t, k in common."""
     counts = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
     # a key of n fingerprints has ceil(n / block) blocks; a fingerprint of block i goes to the pairs (i, j) and (j, i)
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", "t"), F.col("nb")).cast("int")
+    own = F.pmod(F.xxhash64(node, "t"), F.col("nb")).cast("int")
     dealt = (
         keyed.join(counts, ["t", "k"])
         .withColumn("nb", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("o"), "fp")
+        .select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("o"), *dict.fromkeys(["fp", node]))
     )
 
     ordered = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
@@ -307,3 +339,55 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     (or of none) that no links join both stay. Rows alike in all columns are one."""
     docs = checkpointed(_identified(df).select(F.col(key).alias("doc"), "_h1", "_h2", fingerprints(utf8(text)).alias("fp")))
     return _one_of_each_root(df, _rooted(docs, radius, BLOCK).withColumn("least", F.col("doc").eqNullSafe(F.col("component_id"))))
+
+
+def sketch(text: bytes, words: int = SIMILAR_WORDS, seed: int = SEED) -> tuple[int, bytes, list[int]]:
+    """(a hash of the set of shingles, its wide fingerprint, its LOW least hashes), signed; a wordless text has one shingle, hash zero."""
+    found = text.lower().split()
+    digest = xxhash.xxh64_digest
+    if len(found) >= words:
+        raw = b"".join([digest(b" ".join(x), seed) for x in zip(*(found[k:] for k in range(words)))])
+    else:
+        raw = digest(b" ".join(found), seed) if found else bytes(8)
+    hashes = np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+    ones = np.zeros(WIDE, np.int64)
+    for start in range(0, len(hashes), 255 * 64):
+        mixed = hashes[start : start + 255 * 64, None] * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        bits = np.unpackbits((mixed ^ (mixed >> np.uint64(29))).view(np.uint8), axis=1)
+        for at in range(0, len(bits), 255):  # sums that fit a byte are fast
+            ones += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return xxhash.xxh64_intdigest(hashes.tobytes(), seed) - (1 << 63), np.packbits(2 * ones > len(hashes)).tobytes(), hashes[:LOW].view(np.int64).tolist()
+
+
+#: Odd multipliers that make WIDE bits of a hash's 64.
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def radius_of(similarity: float, bits: int = WIDE, slack: float = SLACK) -> int:
+    """Bits within which pairs of a similarity mostly differ."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
+
+
+def keep_one_similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """As keep_one(), with texts linked whose sets of shingles are alike by about `similarity` or more, and those with equal sets (by a hash of 64 bits)
+    for sure. A null text has no words; wordless texts are alike."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([sketch(x, words) for x in batch], columns=["node", "fp", "low"])
+
+    sketched = F.pandas_udf(run, "struct<node: bigint, fp: binary, low: array<bigint>>").asNondeterministic()(utf8(text))
+    docs = checkpointed(_identified(df).select(F.col(key).alias("doc"), "_h1", "_h2", sketched.alias("s")).select("doc", "_h1", "_h2", "s.*"))
+    classes = checkpointed(docs.groupBy("node").agg(F.min("doc").alias("least"), F.first("fp").alias("fp"), F.first("low").alias("low")))
+    low = classes.select("node", F.explode("low").alias("k"))
+    shared = low.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    rarest = F.row_number().over(W.partitionBy("node").orderBy("n", "k"))
+    keys = low.join(shared, "k").withColumn("place", rarest).filter(F.col("place") <= KEYS).select("node", "k", F.lit(0).alias("t"))
+    keyed = checkpointed(keys.join(classes.select("node", "fp"), "node"))
+    roots = components(_linked(keyed, "node", radius_of(similarity), block)).withColumnRenamed("node", "_node")
+    rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rows = docs.select("doc", "_h1", "_h2", "node").join(rooted.select("node", "root").join(named, "root"), "node")
+    return _one_of_each_root(df, rows.withColumn("least", F.col("doc").eqNullSafe(F.col("component_id"))))

@@ -139,11 +139,99 @@ def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     base[100:200] = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
-    stored = simhash.planes(base)
+    bits = simhash.bits_of(base)
+    stored = simhash.planes(bits)
     for radius in (0, 1, 2, 3, 4, 5, 7, 8, 12, 16, 31, 64):
         for q in (0, 5, 150):
-            hits = np.unpackbits(simhash.near(int(base[q]), stored, rng.permutation(64), radius).view(np.uint8), bitorder="little")[:300]
+            hits = np.unpackbits(simhash.near(bits[q], stored, rng.permutation(64), radius).view(np.uint8), bitorder="little")[:300]
             assert hits.astype(bool).tolist() == [(int(base[q]) ^ int(x)).bit_count() <= radius for x in base]
+    wide = rng.integers(0, 2, (200, 512), dtype=np.uint8)
+    wide[50:100] = wide[0] ^ (rng.random((50, 512)) < 0.15)
+    away = (wide[:, None] != wide[None]).sum(axis=2)
+    for radius in (60, 77, 85, 127, 128):
+        hits = np.unpackbits(simhash.near(wide[0], simhash.planes(wide), rng.permutation(512), radius).view(np.uint8), bitorder="little")[:200]
+        assert hits.astype(bool).tolist() == (away[0] <= radius).tolist()
+        for links in (simhash.forest(wide, 0, radius), simhash.small_forests(wide, np.zeros(200, int), radius)):
+            assert all(away[i, j] <= radius for i, j in links)
+            joined = brute_roots(200, links)
+            assert all(joined[i] == joined[j] for i, j in np.argwhere(away <= radius))
+
+
+def brute_roots(n, links):
+    root = list(range(n))
+    for a, b in links:
+        a, b = root[a], root[b]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def shingle_set(text, words=5):
+    found = (text or "").lower().split()
+    return {" ".join(found[k : k + words]) for k in range(len(found) - words + 1)} or ({" ".join(found)} if found else {""})
+
+
+def edited_texts(seed):
+    """Texts and copies of them with words replaced; a passage in a third of all; short and wordless ones."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("bcdfgklmnprst") + rng.choice("aeiou") + rng.choice("bcdfgklmnprst") + str(rng.randint(0, 99))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for k in range(120):
+        base = [word() for _ in range(rng.randint(60, 400))] + (passage if k % 3 == 0 else [])
+        texts.append(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            copy = list(rng.choice([base, texts[-1]]))
+            for _ in range(int(len(copy) * rng.choice([0, 0.002, 0.01, 0.02, 0.03, 0.05, 0.08]))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    return [" ".join(t) for t in texts] + ["one two", "one  TWO", "", None, " ", "one two three"]
+
+
+def test_wide_fingerprints():
+    texts = edited_texts(1)
+    for text in texts[:60] + texts[-6:]:
+        hashes = sorted({xxhash.xxh64_intdigest(x.encode(), 42) for x in shingle_set(text)} if (text or "").split() else {0})
+        node, fp, low = simhash.sketch((text or "").encode())
+        assert [x % (1 << 64) for x in low] == hashes[: simhash.LOW] and len(fp) == simhash.WIDE // 8
+        ones = [0] * simhash.WIDE
+        for h in hashes if len(hashes) < 130 else ():
+            for w, odd in enumerate(simhash._ODD.tolist()):
+                x = h * odd % (1 << 64)
+                x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % (1 << 64)
+                for b, byte in enumerate((x ^ x >> 29).to_bytes(8, "little")):
+                    for i in range(8):
+                        ones[w * 64 + b * 8 + i] += byte >> (7 - i) & 1
+        if len(hashes) < 130:
+            assert np.unpackbits(np.frombuffer(fp, np.uint8)).tolist() == [2 * x > len(hashes) for x in ones]
+
+
+@pytest.mark.parametrize("rows, block", [(200_000, 2048), (0, 4)])
+def test_keep_one_similar(spark, monkeypatch, rows, block):
+    """Against the similarity of all pairs: components hold all pairs of 0.87 or more, most of 0.8 or more, and nothing that pairs of 0.65 don't connect."""
+    monkeypatch.setattr(simhash, "BROADCAST", rows)
+    texts = edited_texts(3)
+    order = list(range(len(texts)))
+    random.Random(5).shuffle(order)
+    df = spark.createDataFrame([(k, texts[k], "x") for k in order], "doc_id long, text string, node string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(df, block=block).collect()}
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(len(a & b) / len(a | b), i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])]
+    loose = brute_roots(len(texts), [(i, j) for s, i, j in pairs if s >= 0.65])
+    # what goes has something like it that has a smaller id
+    assert all(k in kept for k in range(len(texts)) if loose[k] == k)
+    sure = brute_roots(len(texts), [(i, j) for s, i, j in pairs if s >= 0.87])
+    assert all(k not in kept for k in range(len(texts)) if sure[k] != k)
+    wanted = brute_roots(len(texts), [(i, j) for s, i, j in pairs if s >= 0.8])
+    gone = [k for k in range(len(texts)) if wanted[k] != k]
+    assert len(gone) > 60 and sum(k not in kept for k in gone) >= 0.9 * len(gone)
+    assert simhash.keep_one_similar(df.limit(0)).count() == 0
+
+
+def test_keep_one_similar_by_component(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in "abc"]
+    rows = [(None, texts[0], "x"), (None, texts[1], None), (1, texts[2], "x"), (1, texts[0] + " z", "y"), (1, texts[2], "x"), (None, None, "x"), (7, "", "x")]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    assert kept == sorted([("1", texts[0] + " z"), ("None", texts[1]), ("1", texts[2]), ("7", "")])
 
 
 @pytest.mark.parametrize("block, radius", [(4, 3), (2048, 3), (2048, 4), (2048, 1)])
