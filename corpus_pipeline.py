@@ -26,10 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each SimHash component stays. This catches almost identical texts: of pairs alike by 0.8
-    to 0.9 (five-word shingles) few are linked; the README has the recall measured."""
+    """Of each group of texts alike by 0.8 or more (sets of five-word shingles, by wide SimHash fingerprints), the document of least id stays;
+    the README has the recall measured. Rows without an id stay only where nothing of their group has one."""
     bound_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
