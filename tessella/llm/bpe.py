@@ -5,7 +5,8 @@ live position, the rank of the pair (token that starts there, next token); its r
 rank. A merge takes the root and makes three point updates: the merged position, its right neighbour, which dies, and its
 left neighbour, whose pair has changed. A piece of n bytes takes O(n log n).
 
-Null and empty texts have no tokens. A piece of any length is merged whole.
+Null and empty texts have no tokens. A piece of any length is merged whole. What no match of the pattern covers has no tokens, as in the
+public library. Rows that repeat have the same ids, and other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,8 +32,8 @@ CACHE_ENTRIES = 300_000
 #: Characters of the texts that are encoded together.
 GROUP_CHARS = 500_000
 
-#: A text where a single space is the only white space between two words can be split at spaces: no piece of the pattern
-#: crosses such a space, which always opens the next piece.
+#: A text where a single space is the only white space between two words can be split at spaces: no piece of the public pattern
+#: crosses such a space, which always opens the next piece. Other patterns are applied to whole texts.
 _IRREGULAR_SPACE = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f\x85]")
 
 
@@ -195,7 +197,9 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.find = regex.compile(pattern).findall
+        found = regex.compile(pattern)
+        self.find = lambda text: [m[0] for m in found.finditer(text)]
+        self.at_spaces = pattern == public_tokenizers.PATTERN
         self.merges = ManyMerges(self.ranks)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -228,7 +232,7 @@ class Encoder:
         unknown: set[str] = set()
         known, words = self.words.get, self.words
         for text in texts:
-            if " " not in text or _IRREGULAR_SPACE.search(text):
+            if not self.at_spaces or " " not in text or _IRREGULAR_SPACE.search(text):
                 head, rest, got = self.find(text), [], []
             else:
                 first, *rest = text.split(" ")

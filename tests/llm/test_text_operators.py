@@ -331,3 +331,12 @@ def test_quality_held_out(spark):
 
     got = op3_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
+
+
+@pytest.mark.parametrize("pattern", [r"\w+ \w+|\s|\S", r"(\w)+|\s+|[^\w\s]", r"[^ ]+| +", r"\p{L}+"])
+def test_bpe_of_any_pattern(pattern):
+    """Patterns whose pieces cross spaces, have groups, or leave text out."""
+    encoder = bpe.Encoder(RANKS, pattern)
+    reference = tiktoken.Encoding("any", pat_str=pattern, mergeable_ranks=encoder.ranks, special_tokens={})
+    for text in ("the house of the night", "a  b c, d e", " x y z ", "one two three four five six"):
+        assert encoder.encode(text) == reference.encode_ordinary(text)
