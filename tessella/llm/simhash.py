@@ -94,37 +94,39 @@ def planes(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def near(query: np.ndarray, stored: np.ndarray, order: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Words whose set bits are the fingerprints at most `radius` from the query, a row of bits.
+def near(queries: np.ndarray, stored: np.ndarray, order: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each query, a row of bits: words whose set bits are the fingerprints at most `radius` from it.
 
     Each lane has a carry-save counter of as many bits as hold the radius; `over` keeps the lanes in which it has run over. Planes are
-    taken in `order`, those that vary first, and words in which all lanes have run over are left out of later planes.
+    taken in `order`, those that vary first, and words of a query in which all lanes have run over are left out of later planes.
     """
     n = stored.shape[1]
-    live = np.arange(n)
-    counter = [np.zeros(n, np.uint64) for _ in range(max(1, radius.bit_length()))]
-    over = np.zeros(n, np.uint64)
-    result = np.zeros(n, np.uint64)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    result = np.zeros((len(queries), n), np.uint64)
+    flips = np.where(queries[:, order], _FULL, np.uint64(0))
+    live = None  # (query, word) of the words that are left; None: all
+    counter = [np.zeros(result.shape, np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros(result.shape, np.uint64)
     most = (1 << len(counter)) - 1
-    flipped = query[order].tolist()
-    for step, (bit, flip) in enumerate(zip(order.tolist(), flipped)):
-        plane = stored[bit] if live.size == n else stored[bit, live]
-        carry = ~plane if flip else plane
+    for step, bit in enumerate(order.tolist()):
+        carry = stored[bit] ^ flips[:, step, None] if live is None else stored[bit, live[1]] ^ flips[live[0], step]
         for k, digit in enumerate(counter):
             if step >= (1 << k) - 1:  # no lane has counted so far before
                 counter[k], carry = digit ^ carry, digit & carry
         if step >= most:
-            over = over | carry
+            over |= carry
         if step >= radius and step % 8 == 7:
             gone = over if most == radius else over | _above(counter, radius)
-            keep = gone != full
-            if not keep.any():
+            keep = gone != _FULL
+            left = np.count_nonzero(keep)
+            if not left:
                 return result
-            if not keep.all():
-                live, over = live[keep], over[keep]
-                counter = [digit[keep] for digit in counter]
-    result[live] = ~(over | _above(counter, radius))
+            if left <= 0.75 * keep.size:
+                live = np.nonzero(keep) if live is None else tuple(x[keep] for x in live)
+                over, counter = over[keep], [digit[keep] for digit in counter]
+    within = ~(over | _above(counter, radius))
+    if live is None:
+        return within
+    result[live] = within
     return result
 
 
@@ -168,10 +170,12 @@ def forest(bits: np.ndarray, first: int = 0, radius: int = RADIUS) -> list[tuple
     # planes in which nearly all agree come last: they rarely decide
     order = np.argsort(np.abs(bits[first:].mean(axis=0) - 0.5), kind="stable")
     union, count = _Union(len(bits)), len(bits) - first
-    for i in range(first or len(bits)):
-        hits = np.unpackbits(near(bits[i], stored, order, radius).view(np.uint8), bitorder="little")[:count]
-        for j in (np.flatnonzero(hits) + first).tolist():
-            union.link(i, j)
+    for start in range(0, first or len(bits), TILE):
+        word = 0 if first else start // 64  # within one block, links go to later rows
+        hits = near(bits[start : min(start + TILE, first or len(bits))], stored[:, word:], order, radius)
+        hits = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : count - 64 * word]
+        for i, j in zip(*(x.tolist() for x in np.nonzero(hits))):
+            union.link(start + i, first + 64 * word + j)
     return union.links
 
 
@@ -186,14 +190,15 @@ def small_forests(bits: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
         for start in range(0, len(at), LANES):
             i = at[start : start + LANES]
             lanes = planes(bits[i] ^ bits[i + offset])
-            hits = np.unpackbits(near(np.zeros(width, np.uint8), lanes, np.arange(width), radius).view(np.uint8), bitorder="little")[: i.size]
+            hits = np.unpackbits(near(np.zeros((1, width), np.uint8), lanes, np.arange(width), radius).view(np.uint8), bitorder="little")[: i.size]
             for k in i[np.flatnonzero(hits)].tolist():
                 union.link(k, k + offset)
     return union.links
 
 
-#: Distances that are worked out together.
-LANES = 1 << 14
+#: Distances of neighbours, and rows of a group, that are worked out together.
+LANES, TILE = 1 << 14, 64
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Larger groups are compared row by row against their planes.
 SMALL = 32
 
@@ -260,7 +265,9 @@ def _linked(keyed: DataFrame, node: str, radius: int, block: int) -> DataFrame:
         .select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("o"), *dict.fromkeys(["fp", node]))
     )
 
-    ordered = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+    # a number of tasks, for few bytes can be much work
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(tasks, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
     return ordered.mapInPandas(lambda batches: _links_of(batches, radius), "a long, b long").distinct()
 
 

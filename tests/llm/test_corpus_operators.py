@@ -143,14 +143,18 @@ def test_bit_sliced_distances():
     stored = simhash.planes(bits)
     for radius in (0, 1, 2, 3, 4, 5, 7, 8, 12, 16, 31, 64):
         for q in (0, 5, 150):
-            hits = np.unpackbits(simhash.near(bits[q], stored, rng.permutation(64), radius).view(np.uint8), bitorder="little")[:300]
+            hits = np.unpackbits(simhash.near(bits[[q]], stored, rng.permutation(64), radius).view(np.uint8), bitorder="little")[:300]
             assert hits.astype(bool).tolist() == [(int(base[q]) ^ int(x)).bit_count() <= radius for x in base]
     wide = rng.integers(0, 2, (200, 512), dtype=np.uint8)
     wide[50:100] = wide[0] ^ (rng.random((50, 512)) < 0.15)
     away = (wide[:, None] != wide[None]).sum(axis=2)
     for radius in (60, 77, 85, 127, 128):
-        hits = np.unpackbits(simhash.near(wide[0], simhash.planes(wide), rng.permutation(512), radius).view(np.uint8), bitorder="little")[:200]
-        assert hits.astype(bool).tolist() == (away[0] <= radius).tolist()
+        hits = np.unpackbits(simhash.near(wide[:70], simhash.planes(wide), rng.permutation(512), radius).view(np.uint8), axis=1, bitorder="little")[:, :200]
+        assert hits.astype(bool).tolist() == (away[:70] <= radius).tolist()
+        between = simhash.forest(wide, 90, radius)
+        assert all(i < 90 <= j and away[i, j] <= radius for i, j in between)
+        joined = brute_roots(200, between)
+        assert all(joined[i] == joined[90 + j] for i, j in np.argwhere(away[:90, 90:] <= radius))
         for links in (simhash.forest(wide, 0, radius), simhash.small_forests(wide, np.zeros(200, int), radius)):
             assert all(away[i, j] <= radius for i, j in links)
             joined = brute_roots(200, links)
