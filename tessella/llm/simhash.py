@@ -15,7 +15,9 @@ keep_one_similar() links texts by the Jaccard similarity of their sets of shingl
 64 tell apart, is compared in the same way. There bands would be too short to be keys, so texts are compared that share a rare shingle:
 of the LOW shingles of least hash of a text, the KEYS that the fewest other texts have among theirs. Two texts at an angle (similarity s of
 sets of like size: cosine 2s / (1 + s)) differ in a number of bits with a mean and a spread; the radius is the mean at the wanted
-similarity and SLACK times the spread, so that most pairs at it are linked, nearly all above it, and few below.
+similarity and SLACK times the spread, so that pairs at it are not missed. What such loose links connect is compared again within its
+loose component, and there a pair of fingerprints within the radius is a link only if the sets themselves are alike. Only texts in loose components have
+their sets made and shuffled, once for each block of their component.
 """
 
 from __future__ import annotations
@@ -39,10 +41,13 @@ RADIUS = 3
 BLOCK = 2048
 #: Rows of two hashes up to which a table is broadcast.
 BROADCAST = 200_000
-#: Bits of a wide fingerprint, words of its shingles, the similarity from which texts are linked, and how far beyond its mean distance.
-WIDE, SIMILAR_WORDS, SIMILARITY, SLACK = 512, 5, 0.8, 1.0
+#: Bits of a wide fingerprint, words of its shingles, the similarity from which texts are linked, and how far beyond its mean distance
+#: (texts of four and five shingles, which are furthest apart for their similarity, are within it).
+WIDE, SIMILAR_WORDS, SIMILARITY, SLACK = 512, 5, 0.8, 6.0
 #: Shingles of least hash of a text, and those of them that are keys.
 LOW, KEYS = 16, 6
+#: Texts in a block of one loose component, which come with their sets.
+SET_BLOCK = 512
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> bytes:
@@ -162,10 +167,52 @@ class _Union:
             self.parent[max(a, b)] = min(a, b)
             self.links.append((i, j))
 
+    def link_all(self, rows: np.ndarray, others: np.ndarray, sets: Alike | None) -> None:
+        """Links rows[k] to others[k], with `sets` only where these are alike; pairs that are connected are not looked at."""
+        if sets is None:
+            for i, j in zip(rows.tolist(), others.tolist()):
+                self.link(i, j)
+            return
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
+            if len(part):
+                i = int(rows[part[0]])
+                apart = [j for j in others[part].tolist() if self.root(j) != self.root(i)]
+                for j in sets.alike(i, apart) if apart else []:
+                    self.link(i, j)
+
+
+class Alike:
+    """Whether sets of 32-bit hashes, sorted, have a Jaccard similarity of `least` or more.
+
+    One set is marked in a table by the low bits of its hashes. What another has in marked places is no less than what they share, so most
+    pairs are refused by that count, many at a time; the others are compared as they are.
+    """
 
-def forest(bits: np.ndarray, first: int = 0, radius: int = RADIUS) -> list[tuple[int, int]]:
+    def __init__(self, sets: list[np.ndarray], least: float):
+        self.sets, self.least = sets, least
+        self.marked = np.zeros(1 << 20, bool)
+
+    def _enough(self, shared: int, a: int, b: int) -> bool:
+        return shared >= self.least * (a + b - shared)
+
+    def alike(self, i: int, others: list[int]) -> list[int]:
+        one, low = self.sets[i], np.uint32(len(self.marked) - 1)
+        others = [j for j in others if self._enough(min(one.size, self.sets[j].size), one.size, self.sets[j].size)]
+        if not others:
+            return []
+        self.marked[one & low] = True
+        most = []
+        for start in range(0, len(others), TILE):
+            part = [self.sets[j] for j in others[start : start + TILE]]
+            most += np.add.reduceat(self.marked[np.concatenate(part) & low], np.cumsum([0, *map(len, part[:-1])]), dtype=np.int64).tolist()
+        self.marked[one & low] = False
+        maybe = [j for j, n in zip(others, most) if self._enough(min(n, one.size, self.sets[j].size), one.size, self.sets[j].size)]
+        return [j for j in maybe if self._enough(np.intersect1d(one, self.sets[j], assume_unique=True).size, one.size, self.sets[j].size)]
+
+
+def forest(bits: np.ndarray, first: int = 0, radius: int = RADIUS, sets: Alike | None = None) -> list[tuple[int, int]]:
     """Links, as pairs of rows, that connect what all links connect: fewer than there are rows. With `first`, only links
-    between the rows before it and those from it on."""
+    between the rows before it and those from it on; with `sets`, only those between sets that are alike."""
     stored = planes(bits[first:])
     # planes in which nearly all agree come last: they rarely decide
     order = np.argsort(np.abs(bits[first:].mean(axis=0) - 0.5), kind="stable")
@@ -174,12 +221,14 @@ def forest(bits: np.ndarray, first: int = 0, radius: int = RADIUS) -> list[tuple
         word = 0 if first else start // 64  # within one block, links go to later rows
         hits = near(bits[start : min(start + TILE, first or len(bits))], stored[:, word:], order, radius)
         hits = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : count - 64 * word]
-        for i, j in zip(*(x.tolist() for x in np.nonzero(hits))):
-            union.link(start + i, first + 64 * word + j)
+        rows, others = np.nonzero(hits)
+        rows, others = rows + start, others + first + 64 * word
+        later = others > rows  # a row is within the radius of itself
+        union.link_all(rows[later], others[later], sets)
     return union.links
 
 
-def small_forests(bits: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+def small_forests(bits: np.ndarray, group: np.ndarray, radius: int = RADIUS, sets: Alike | None = None) -> list[tuple[int, int]]:
     """As forest(), for many small groups that lie side by side: 64 lanes of a word hold the distances of neighbours at one
     offset, whichever group they are of, and offsets grow until no group is that long."""
     union, width = _Union(len(bits)), bits.shape[1]
@@ -191,8 +240,8 @@ def small_forests(bits: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
             i = at[start : start + LANES]
             lanes = planes(bits[i] ^ bits[i + offset])
             hits = np.unpackbits(near(np.zeros((1, width), np.uint8), lanes, np.arange(width), radius).view(np.uint8), bitorder="little")[: i.size]
-            for k in i[np.flatnonzero(hits)].tolist():
-                union.link(k, k + offset)
+            rows = i[np.flatnonzero(hits)]
+            union.link_all(rows, rows + offset, sets)
     return union.links
 
 
@@ -203,21 +252,23 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SMALL = 32
 
 
-def _links_of(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """batches: t, k, i, j, o, fp and perhaps node, which stands for fp in links; sorted by t, k, i, j. The rows of a group that may go on in
-    the next batch wait for it."""
+def _links_of(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iterator[pd.DataFrame]:
+    """batches: t, k, i, j, o, fp and perhaps node, which stands for fp in links, and set, to be alike by `least`; sorted by t, k, i, j. The rows
+    of a group that may go on in the next batch wait for it."""
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf[["t", "k", "i", "j"]].to_numpy()
         fps = pdf["fp"]
         bits = bits_of(fps.tolist() if fps.dtype == object else fps.to_numpy().astype(np.int64).view(np.uint64))
         nodes = pdf["node" if "node" in pdf else "fp"].to_numpy()
+        sets = [np.frombuffer(x, "<u4") for x in pdf["set"]] if "set" in pdf else None
+        alike = lambda rows: sets and Alike([sets[k] for k in rows], least)
         starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
         sizes = np.diff(np.r_[starts, len(fps)])
         group = np.repeat(np.arange(len(starts)), sizes)
         whole = keys[:, 2] == keys[:, 3]
         small = np.flatnonzero(whole & (sizes[group] <= SMALL))
-        ends = [small[np.array(small_forests(bits[small], group[small], radius), np.int64).reshape(-1, 2)]]
+        ends = [small[np.array(small_forests(bits[small], group[small], radius, alike(small)), np.int64).reshape(-1, 2)]]
         for at, n in zip(starts, sizes):
             if n <= SMALL and whole[at]:
                 continue
@@ -228,7 +279,7 @@ def _links_of(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataF
                 rows, first = np.r_[rows[left], rows[~left]], int(left.sum())
                 if first in (0, n):
                     continue
-            ends.append(rows[np.array(forest(bits[rows], first, radius), np.int64).reshape(-1, 2)])
+            ends.append(rows[np.array(forest(bits[rows], first, radius, alike(rows)), np.int64).reshape(-1, 2)])
         ends = nodes[np.concatenate(ends)]
         return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
@@ -251,8 +302,8 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return _linked(keyed, "fp", radius, block)
 
 
-def _linked(keyed: DataFrame, node: str, radius: int, block: int) -> DataFrame:
-    """keyed: t, k, fp and the column `node`. Links of what has a key t, k in common."""
+def _linked(keyed: DataFrame, node: str, radius: int, block: int, least: float = 0.0) -> DataFrame:
+    """keyed: t, k, fp, the column `node` and perhaps set. Links of what has a key t, k in common; sets must be alike by `least`."""
     counts = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
     # a key of n fingerprints has ceil(n / block) blocks; a fingerprint of block i goes to the pairs (i, j) and (j, i)
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -262,13 +313,13 @@ def _linked(keyed: DataFrame, node: str, radius: int, block: int) -> DataFrame:
         .withColumn("nb", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("o"), *dict.fromkeys(["fp", node]))
+        .select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("o"), *dict.fromkeys(["fp", node, *({"set"} & {*keyed.columns})]))
     )
 
     # a number of tasks, for few bytes can be much work
     tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(tasks, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
-    return ordered.mapInPandas(lambda batches: _links_of(batches, radius), "a long, b long").distinct()
+    return ordered.mapInPandas(lambda batches: _links_of(batches, radius, least), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,15 +399,20 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     return _one_of_each_root(df, _rooted(docs, radius, BLOCK).withColumn("least", F.col("doc").eqNullSafe(F.col("component_id"))))
 
 
-def sketch(text: bytes, words: int = SIMILAR_WORDS, seed: int = SEED) -> tuple[int, bytes, list[int]]:
-    """(a hash of the set of shingles, its wide fingerprint, its LOW least hashes), signed; a wordless text has one shingle, hash zero."""
+def shingle_hashes(text: bytes, words: int = SIMILAR_WORDS, seed: int = SEED) -> np.ndarray:
+    """The hashes of the set of shingles, ascending; a wordless text has one shingle, hash zero."""
     found = text.lower().split()
     digest = xxhash.xxh64_digest
     if len(found) >= words:
         raw = b"".join([digest(b" ".join(x), seed) for x in zip(*(found[k:] for k in range(words)))])
     else:
         raw = digest(b" ".join(found), seed) if found else bytes(8)
-    hashes = np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+
+
+def sketch(text: bytes, words: int = SIMILAR_WORDS, seed: int = SEED) -> tuple[int, bytes, list[int]]:
+    """(a hash of the set of shingles, its wide fingerprint, its LOW least hashes), signed."""
+    hashes = shingle_hashes(text, words, seed)
     ones = np.zeros(WIDE, np.int64)
     for start in range(0, len(hashes), 255 * 64):
         mixed = hashes[start : start + 255 * 64, None] * _ODD
@@ -372,14 +428,14 @@ _ODD = np.random.default_rng(7).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64
 
 
 def radius_of(similarity: float, bits: int = WIDE, slack: float = SLACK) -> int:
-    """Bits within which pairs of a similarity mostly differ."""
+    """Bits within which pairs of a similarity differ."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
 def keep_one_similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """As keep_one(), with texts linked whose sets of shingles are alike by about `similarity` or more, and those with equal sets (by a hash of 64 bits)
-    for sure. A null text has no words; wordless texts are alike."""
+    """As keep_one(), with texts linked whose sets of shingles (as hashes of 32 bits) have a Jaccard similarity of `similarity` or more, and those
+    with equal sets (by a hash of 64 bits). A null text has no words; wordless texts are alike."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -387,13 +443,25 @@ def keep_one_similar(df: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     sketched = F.pandas_udf(run, "struct<node: bigint, fp: binary, low: array<bigint>>").asNondeterministic()(utf8(text))
     docs = checkpointed(_identified(df).select(F.col(key).alias("doc"), "_h1", "_h2", sketched.alias("s")).select("doc", "_h1", "_h2", "s.*"))
-    classes = checkpointed(docs.groupBy("node").agg(F.min("doc").alias("least"), F.first("fp").alias("fp"), F.first("low").alias("low")))
+    one = F.min(F.struct("_h1", "_h2")).alias("row")  # one that has the text of a class
+    classes = checkpointed(docs.groupBy("node").agg(F.min("doc").alias("least"), F.first("fp").alias("fp"), F.first("low").alias("low"), one))
     low = classes.select("node", F.explode("low").alias("k"))
     shared = low.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     rarest = F.row_number().over(W.partitionBy("node").orderBy("n", "k"))
     keys = low.join(shared, "k").withColumn("place", rarest).filter(F.col("place") <= KEYS).select("node", "k", F.lit(0).alias("t"))
     keyed = checkpointed(keys.join(classes.select("node", "fp"), "node"))
-    roots = components(_linked(keyed, "node", radius_of(similarity), block)).withColumnRenamed("node", "_node")
+    radius = radius_of(similarity)
+    loose = components(_linked(keyed, "node", radius, block))
+    rows = checkpointed(classes.join(loose, "node").select("node", F.col("root").alias("k"), F.lit(0).alias("t"), "fp", "row.*"))
+
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique((shingle_hashes(x, words) >> np.uint64(32)).astype("<u4")).tobytes() for x in batch])
+
+    texts = _identified(df).select("_h1", "_h2", utf8(text).alias("text")).join(small(rows.select("_h1", "_h2"), BROADCAST), ["_h1", "_h2"], "left_semi")
+    made = checkpointed(texts.select("_h1", "_h2", F.pandas_udf(sets, "binary").asNondeterministic()("text").alias("set")).dropDuplicates(["_h1", "_h2"]))
+    again = rows.join(made, ["_h1", "_h2"]).drop("_h1", "_h2")
+    roots = components(_linked(again, "node", radius, min(block, SET_BLOCK), similarity)).withColumnRenamed("node", "_node")
     rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     rows = docs.select("doc", "_h1", "_h2", "node").join(rooted.select("node", "root").join(named, "root"), "node")
