@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike by 0.8 or more (sets of five-word shingles, by wide SimHash fingerprints), the document of least id stays;
-    the README has the recall measured. Rows without an id stay only where nothing of their group has one."""
+    """Of each group of texts alike by 0.8 or more (sets of five-word shingles, found by wide SimHash fingerprints and compared themselves),
+    the document of least id stays. Rows without an id stay only where nothing of their group has one."""
     bound_batches(spark)
     return simhash.keep_one_similar(docs)
 
