@@ -35,6 +35,21 @@ def test_collisions(spark):
     assert got == {1: "a.md", 2: "a-2.md", 3: "a-3.md", 4: "b-2.md", 5: "c-3.md"}
 
 
+def test_collision_names_over_ranges(spark):
+    """A frequent name, null names, null and repeated order keys; a column _before of the input stays."""
+    rows = [(k, "untitled" if k % 3 else None if k % 2 else f"n{k % 5}", None if k == 7 else k // 2, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, name string, ord long, _before long").repartition(5)
+    for ranges in (1, 4, 50):
+        got = numbering.collision_names(df, "name", F.col("ord"), "out", ranges=ranges)
+        assert got.columns == [*df.columns, "out"]
+        seen = {}
+        for r in sorted(got.collect(), key=lambda r: (r["ord"] is not None, r["ord"], int((r["out"] or "").rpartition("-")[2]) if "-" in (r["out"] or "") else 1)):
+            k = seen[r["name"]] = seen.get(r["name"], 0) + 1
+            assert r["out"] == (None if r["name"] is None else r["name"] + (f"-{k}" if k > 1 else "")) and r["_before"] == r["id"]
+        assert sum(seen.values()) == 400
+    assert numbering.collision_names(df.limit(0), "name", F.col("ord"), "out").count() == 0
+
+
 def test_answers(spark):
     said = 'Sure:\n```\n{"id": "item-0001", "category": "ai", "value": 5}\n  {"id": "item-0002", "value": "4"}\n{"id": broken\n{"id": "item-0001", "category": "late"}\n{"id": "item-9999"}\n[1]\n'
     df = spark.createDataFrame([(1, said), (2, None), (3, "")], "batch long, answer string")
