@@ -214,9 +214,9 @@ def test_notes_library_and_stream(spark, tmp_path):
 
 def test_configuration(spark, tmp_path):
     path = tmp_path / "tessella.yaml"
-    path.write_text('vault_path: "~/v"  # here\nsearch_provider: qmd\nsearch_provider: late\nwhisper_model: \n')
+    path.write_text('vault_path: "~/v"  # here\nsearch_provider: own\nsearch_provider: late\nwhisper_model: \n')
     found = notes.load_config(spark, str(path), home="/home/me")
-    assert found["vault_path"] == "/home/me/v" and found["reader_context_path"] == "/home/me/v/reader-context.md" and found["search_provider"] == "qmd"
+    assert found["vault_path"] == "/home/me/v" and found["reader_context_path"] == "/home/me/v/reader-context.md" and found["search_provider"] == "own"
     assert found["whisper_model"] == "large-v3" and found["default_model"] == "sonnet"
     assert notes.find_config(None, {}, str(tmp_path)) == str(path) and notes.find_config(str(path), {}) == str(path)
     with pytest.raises(FileNotFoundError):
